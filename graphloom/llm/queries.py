@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import clusters, distinct, neardup, similar, termfreq
+from graphloom.llm import clusters, distinct, mixing, neardup, packing, similar, spam, termfreq
+from graphloom.llm.tokens import token_count
 from graphloom.llm.vectors import DISCRETE, instance_vectors, node_vectors, table
 from graphloom.operators.nodes import current_nodes
 from graphloom.store import keep
@@ -72,6 +73,34 @@ def p5_found(spark, sf_dir):
     return p5_frequencies(spark, sf_dir).where("mark <> 'useful'").select("field_name", "attr", "term", "mark")
 
 
+def _sized(spark, sf_dir, *columns):
+    return table(spark, sf_dir, "documents").select("doc_id", *columns, token_count("text").alias("n_tokens"))
+
+
+def p6_pack(spark, sf_dir):
+    return packing.pack(_sized(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p6_fill(spark, sf_dir):
+    return packing.fill_report(p6_pack(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p7_mix(spark, sf_dir):
+    return mixing.mix(keep(_sized(spark, sf_dir, "source", "text")), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark, sf_dir):
+    return mixing.share_report(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_found(spark, sf_dir):
+    return spam.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+def p8_pages(spark, sf_dir):
+    return spam.stuffed_pages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p3_found, p3_links, p4_found, p4_scores, p5_found, p5_frequencies)
+    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p3_found, p3_links, p4_found, p4_scores, p5_found, p5_frequencies, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_pages)
 }
