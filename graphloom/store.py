@@ -8,6 +8,7 @@ where that setting is absent (local tests).
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -31,11 +32,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and return it as a scan of that table."""
+    """Write ``df`` to the shared folder and return it as a scan of that table.
+
+    What the plan shuffled is then garbage; the driver is told to collect it, as otherwise the files would lie on the
+    executors' disks until it happens to do so.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/graphloom-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
