@@ -19,9 +19,10 @@ from graphloom.operators.records import bucket_counts, bucket_of_numpy
 from graphloom.operators.skew import hashed_key, salted_lookup, with_key_counts
 from graphloom.store import keep
 
-COUNT_BITS = 20
-#: Records that may share a block of the product; larger ones are divided by a further term.
-BLOCK_ROWS = 1_000
+COUNT_BITS = 22
+#: Records that may share a block of the product; larger ones are divided by a further term.  Records that share more terms
+#: are likelier pairs, so every further term allows a block GROWTH times as large.
+BLOCK_ROWS, GROWTH = 64, 4
 LONGEST_KEY = 6
 
 
@@ -71,9 +72,10 @@ def near_duplicates(sets: DataFrame, least_size: int = 8) -> tuple[DataFrame, Da
         counted = with_key_counts(keys, ["field_name", "key"], max(1, total * 5), "block", least=2)
         last = length == LONGEST_KEY
         counted = keep(counted) if not last else counted
-        part = _pairs_of(counted if last else counted.where(F.col("block") <= BLOCK_ROWS), length)
+        most = BLOCK_ROWS * GROWTH ** (length - 1)
+        part = _pairs_of(counted if last else counted.where(F.col("block") <= most), length)
         pairs = part if pairs is None else pairs.unionByName(part)
-        large = counted.where(F.col("block") > BLOCK_ROWS)
+        large = counted.where(F.col("block") > most)
         if last or large.limit(1).count() == 0:
             break
         more = F.slice("toks", F.col("pos") + 2, F.greatest(F.lit(0), prefix + length - F.col("pos") - 1))
