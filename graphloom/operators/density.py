@@ -57,7 +57,7 @@ def dense_centres(neighbours: DataFrame, density: DataFrame, count: int = 20, mo
         return frame[keep_]
 
     rows = lists.select(F.col("gid").alias("centre"), "rank", "members")
-    return rows.groupBy(F.lit(0)).applyInPandas(greedy, "centre bigint, rank int, members array<bigint>")
+    return rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda f: greedy(f).drop(columns="one"), "centre bigint, rank int, members array<bigint>")
 
 
 def connected_centres(neighbours: DataFrame, density: DataFrame, count: int = 20, least_shared: int = 3) -> DataFrame:

@@ -78,8 +78,9 @@ def abstraction_features(vertices: DataFrame, edges: DataFrame, distances: DataF
     counts = lambda e, name: reach(e).groupBy("gid", "top", "d", "r", F.col("code").alias(name)).agg(F.count(F.lit(1)).alias(f"n{name}"))
     lower, upper = counts(side("is_part_of"), "x"), counts(side("is_abstraction_of"), "y")
     given = tops.join(lower.select("gid", "top", F.lit(1).alias("l")).distinct(), ["gid", "top"], "left").join(upper.select("gid", "top", F.lit(1).alias("u")).distinct(), ["gid", "top"], "left")
-    checked = given.select("gid", "top", F.when(F.col("l").isNull() | F.col("u").isNull(), F.raise_error(F.lit("abstract vertex without a part or an abstract side")).cast("boolean")).otherwise(F.lit(True)).alias("ok")).where("ok")
-    met = lower.join(upper, ["gid", "top", "d", "r"]).join(checked, ["gid", "top"])
+    if given.where("l is null or u is null").limit(1).count():
+        raise ValueError("abstract vertex without a part or an abstract side")
+    met = lower.join(upper, ["gid", "top", "d", "r"])
     fid = hash_values(F.col("r"), F.col("d"), F.col("x"), F.col("y"), bits=bits)
     return met.groupBy("gid", F.col("top").alias("vid"), "r", "d", fid.alias("fid")).agg(F.sum(F.col("nx") * F.col("ny")).cast("double").alias("count"))
 

@@ -255,4 +255,4 @@ def embed(neighbours: DataFrame, dims: int = 2, iterations: int = 200, epsilon:
         distortion = 1 - (kept / n / k - k / n)
         return pd.DataFrame({"gid": ids, "x": list(x), "distortion": distortion})
 
-    return neighbours.select("gid", "nid", "k").groupBy(F.lit(0)).applyInPandas(place, "gid bigint, x array<double>, distortion double")
+    return neighbours.select("gid", "nid", "k", F.lit(0).alias("one")).groupBy("one").applyInPandas(place, "gid bigint, x array<double>, distortion double")

@@ -29,18 +29,19 @@ def dense_dots(rows: DataFrame, columns: DataFrame, blocks: int = 16) -> DataFra
     import numpy as np
     import pandas as pd
 
-    block = lambda name: F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int").alias(name)
+    block = F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = rows.select("gid", "x", block("i"), other.alias("j")).groupBy("i", "j")
-    b = columns.select("gid", "x", block("j"), other.alias("i")).groupBy("i", "j")
+    a = rows.select(block.alias("i"), other.alias("j"), F.lit(True).alias("row"), "gid", "x")
+    b = columns.select(block.alias("j"), other.alias("i"), F.lit(False).alias("row"), "gid", "x")
 
-    def products(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def products(frame: pd.DataFrame) -> pd.DataFrame:
+        p, q = frame[frame["row"]], frame[~frame["row"]]
         if not len(p) or not len(q):
             return pd.DataFrame({"gid_a": [], "gid_b": [], "k": []})
-        k = np.stack(p.x.to_list()).astype(float) @ np.stack(q.x.to_list()).astype(float).T
-        return pd.DataFrame({"gid_a": np.repeat(p.gid.to_numpy(), len(q)), "gid_b": np.tile(q.gid.to_numpy(), len(p)), "k": k.ravel()})
+        k = np.stack(p["x"].to_list()).astype(float) @ np.stack(q["x"].to_list()).astype(float).T
+        return pd.DataFrame({"gid_a": np.repeat(p["gid"].to_numpy(), len(q)), "gid_b": np.tile(q["gid"].to_numpy(), len(p)), "k": k.ravel()})
 
-    return a.cogroup(b).applyInPandas(products, "gid_a bigint, gid_b bigint, k double")
+    return a.unionByName(b).groupBy("i", "j").applyInPandas(products, "gid_a bigint, gid_b bigint, k double")
 
 
 def gram_summary(gram: DataFrame, rows: DataFrame, columns: DataFrame, rr: DataFrame, cc: DataFrame) -> DataFrame:
