@@ -57,7 +57,7 @@ class ShardVectors:
         return float(self.value[x][i] @ self.value[y][j])
 
     def cosines(self, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
-        """Cosines of each of ``rows`` with the rows in its line of ``other``; -1 in ``other`` gives -inf."""
+        """Cosines of each of ``rows`` with the other rows in its line of ``other``; -1 in ``other`` gives -inf."""
         out = np.full(other.shape, -np.inf)
         if not len(rows):
             return out

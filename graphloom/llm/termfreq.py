@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
 from graphloom.operators.nodes import profile_entries
 
@@ -15,7 +16,7 @@ BITS = 15
 DENSE = 2048
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def container_of(ids: pd.Series) -> pd.Series:
     """A container of low id bits: byte 0 and a sorted 16-bit list, or byte 1 and a bitmap of 4096 bytes."""
 
@@ -30,7 +31,7 @@ def container_of(ids: pd.Series) -> pd.Series:
     return ids.map(pack)
 
 
-@pandas_udf("array<int>")
+@pandas_udf(ArrayType(IntegerType()))
 def ids_of(container: pd.Series) -> pd.Series:
     """The low id bits that a container holds, ascending."""
 

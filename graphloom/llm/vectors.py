@@ -57,6 +57,7 @@ def route(vectors: DataFrame, total: int, copies: int, shard_rows: int) -> DataF
     parts_of = lambda n: F.ceil(F.col(n) / (2 * shard_rows)).cast("int")
     top = F.expr(f"slice(array_sort(zip_with(vals, fids, (v, f) -> struct(-abs(v) as s, f as f))), 1, {ROUTING_FEATURES})")
     keys = vectors.select("field_name", "id", F.explode(top).alias("e")).select("field_name", "id", F.col("e.f").alias("f"), (-F.col("e.s")).alias("s"))
+    keys = keep(keys)
     counted = with_key_counts(keys, ["field_name", "f"], total * ROUTING_FEATURES, least=2)
     telling = counted.withColumn("s", F.col("s") * F.log1p(F.lit(float(total)) / F.col("n")))
     order = Window.partitionBy("field_name", "id").orderBy(F.desc("s"), "f")
@@ -66,6 +67,7 @@ def route(vectors: DataFrame, total: int, copies: int, shard_rows: int) -> DataF
     chosen = ranked.where(F.col("r") <= copies).select("field_name", "id", own.alias("k"))
     shards = max(1, -(-copies * total // shard_rows))
     chosen = chosen.select("field_name", "id", F.pmod("k", F.lit(shards)).cast("int").alias("shard")).distinct()
+    chosen = keep(chosen)
     sizes = chosen.groupBy("field_name", "shard").agg(F.count(F.lit(1)).alias("n"))
     placed = salted_lookup(chosen, sizes, ["field_name", "shard"], "n", copies * total)
     placed = placed.withColumn("parts", parts_of("n")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
