@@ -45,11 +45,12 @@ def neighbour_graph(vectors: DataFrame, total: int, k: int, least: float, rounds
     return routed.groupBy(*TASK).applyInArrow(_shard_edges(k, least, rounds), EDGES).dropDuplicates(["a", "b"])
 
 
-def modularity_communities(edges: DataFrame, rounds: int = 4, levels: int = 2) -> DataFrame:
+def modularity_communities(edges: DataFrame, rounds: int = 2, levels: int = 3) -> DataFrame:
     """``(id, community)`` of every end of ``edges (a, b, w)`` by parallel local moving for modularity.
 
-    In a round every node with the round's parity may move to the neighbouring community of highest gain; ties go to the smaller
-    community.  Communities are then contracted and moved as nodes.  Only sums per (node, community) are shuffled, aggregated before the
+    In a level's first round every node may join the neighbouring community of highest gain among those of smaller names; in
+    later rounds the nodes of the round's parity may join any.  Ties go to the smaller community.  Communities are then contracted
+    and moved as nodes, so that the graph soon is small.  Only sums per (node, community) are shuffled, aggregated before the
     shuffle, so a community of any size is never gathered.
     """
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
