@@ -256,3 +256,11 @@ def embed(neighbours: DataFrame, dims: int = 2, iterations: int = 200, epsilon:
         return pd.DataFrame({"gid": ids, "x": list(x), "distortion": distortion})
 
     return neighbours.select("gid", "nid", "k", F.lit(0).alias("one")).groupBy("one").applyInPandas(place, "gid bigint, x array<double>, distortion double")
+
+
+def average_stress(places: DataFrame, products: DataFrame) -> DataFrame:
+    """``(stress)``: mean squared gap between low-dimensional distance and 1 - k over the given pairs."""
+    a, b = places.select(F.col("gid").alias("gid_a"), F.col("x").alias("xa")), places.select(F.col("gid").alias("gid_b"), F.col("x").alias("xb"))
+    far = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    both = products.where("gid_a <> gid_b").join(a, "gid_a").join(b, "gid_b")
+    return both.agg(F.avg(F.pow(far - (1 - F.col("k")), 2)).alias("stress"))

@@ -13,6 +13,7 @@ from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphloom.functions.hashing import py_hash
 
@@ -64,13 +65,13 @@ class Graph:
         horizon = max(self.config.radius, self.config.distance, self.config.radius_two)
         return {v: self.search(v, horizon) for v in self.labels if v not in self.abstract}
 
-    def canonical(self, chosen: set[int], root: int | None) -> int:
-        """Hash of the subgraph on ``chosen``, independent of numbering; with a root, of how it is seen from there."""
+    def canonical(self, chosen: set[int], *roots: int) -> int:
+        """Hash of the subgraph on ``chosen``, independent of numbering; with roots, of how it is seen from those."""
         far = {v: self.search(v, len(chosen), chosen) for v in chosen}
         own = {}
         for v in chosen:
             seen = sorted(self.h(f"{far[v].get(u, -1)}{self.labels[u]}") for u in chosen)
-            first = [self.h(f"{far[root].get(v, -1)}{self.labels[root]}")] if root is not None else []
+            first = sorted(self.h(f"{far[root].get(v, -1)}{self.labels[root]}") for root in roots)
             own[v] = self.h(first + seen)
         pairs, lonely = [], []
         for v in chosen:
@@ -99,7 +100,7 @@ class Graph:
     def shell(self, inner: int, outer: int, v: int) -> int:
         key = (inner, outer, v, "shell")
         if key not in self.codes:
-            self.codes[key] = 1 if len(self.steps.get(v, [])) > HUB else self.canonical({u for u, d in self.reach[v].items() if inner <= d <= outer}, None)
+            self.codes[key] = 1 if len(self.steps.get(v, [])) > HUB else self.canonical({u for u, d in self.reach[v].items() if inner <= d <= outer})
         return self.codes[key]
 
     def pairs(self):
@@ -288,6 +289,30 @@ KERNELS: dict[str, tuple[Callable[[Graph], Cells], bool, bool]] = {
 }
 
 
+def feature_dictionary(vertices: DataFrame, edges: DataFrame, config: Config | None = None) -> DataFrame:
+    """``(fid, r, d, near, far, places)``: what a pair feature stands for, with the labels around both ends and how often it occurs.
+
+    The far end alone (no near end) has its own line under its own fid.
+    """
+    config = config or Config()
+
+    def lines(key, v: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        g = build(v, e, config)
+        text = lambda r, x: "{" + ",".join(sorted(g.labels[u] for u, d in g.reach[x].items() if d <= r)) + "}"
+        out: Counter = Counter()
+        for r in range(config.radius + 1):
+            for x, u, d in g.pairs():
+                (a, ta), (b, tb) = sorted([(g.code(r, x), text(r, x)), (g.code(r, u), text(r, u))])
+                out[g.h([r, d, a, b]), r, d, ta, tb] += 1
+                out[g.h([r, d, 0, g.code(r, u)]), r, d, "", text(r, u)] += 1
+        return pd.DataFrame([(*k, n) for k, n in out.items()], columns=["fid", "r", "d", "near", "far", "places"])
+
+    v = vertices.select("gid", "vid", "label", "is_viewpoint", "is_kernel_point", "is_dead", "is_abstraction").groupBy("gid")
+    e = edges.where("not is_dead").select("gid", "src", "dst", "label", "is_abstraction_of", "is_part_of").groupBy("gid")
+    each = v.cogroup(e).applyInPandas(lines, "fid bigint, r int, d int, near string, far string, places bigint")
+    return each.groupBy("fid", "r", "d", "near", "far").agg(F.sum("places").alias("places"))
+
+
 def register_kernel(name: str, cells: Callable[[Graph], Cells], by_cell: bool = True, whole: bool = True) -> None:
     """Add a kernel of one's own under a new name."""
     if name in KERNELS:

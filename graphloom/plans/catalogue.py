@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import hashing, stats
-from graphloom.operators import density, graph_ops, graphs, kernels, learning, local_kernels, lsh, sampling, skew, vectors_ops
+from graphloom.operators import density, graph_ops, graphs, kernels, learning, local_kernels, lsh, node_kernels, sampling, skew, vectors_ops
+from graphloom.operators.nodes import current_nodes, profile_entries
 from graphloom.operators.records import current_vectors
 from graphloom.plans import oracles as O
+from graphloom.sources import writers
 from graphloom.store import keep
 
 QUERIES: dict = {}
@@ -493,3 +495,107 @@ def current_features(spark, sf_dir):
 def feature_support(spark, sf_dir):
     f = keep(long_features(spark, sf_dir))
     return skew.with_key_counts(f, ["fid"], f.count(), "held_by")
+
+
+# --- further graph, export and node queries ---------------------------------------------------------------------------
+_YEARS = "ov AS (SELECT o_custkey AS gid, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1)::INT AS vid, o_orderpriority AS label, year(o_orderdate) AS part FROM orders)"
+
+
+def _year_chains(spark, sf_dir):
+    v, _ = graph_ops.sequences(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], F.col("o_orderpriority"))
+    from pyspark.sql import Window
+
+    place = (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")) - 1).cast("int")
+    parts = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("gid"), place.alias("vid"), F.year("o_orderdate").alias("part"))
+    return v, parts
+
+
+@query(f"""WITH {_YEARS}, ps AS (SELECT DISTINCT gid, part FROM ov), pq AS (SELECT a.gid, a.part AS p, b.part AS q FROM ps a JOIN ps b ON a.gid = b.gid AND a.part < b.part), sz AS (SELECT gid, max(vid) + 1 AS n FROM ov GROUP BY gid),
+nw AS (SELECT pq.gid, p, q, (n + row_number() OVER (PARTITION BY pq.gid ORDER BY p, q) - 1)::INT AS vid FROM pq JOIN sz USING (gid))
+SELECT nw.gid, nw.vid AS src, ov.vid AS dst, '@-' AS label FROM nw JOIN ov ON ov.gid = nw.gid AND ov.part = nw.p UNION ALL SELECT nw.gid, nw.vid, ov.vid, '^-' FROM nw JOIN ov ON ov.gid = nw.gid AND ov.part = nw.q""")
+def component_interaction(spark, sf_dir):
+    return graph_ops.component_links(*_year_chains(spark, sf_dir))[1].select("gid", "src", "dst", "label")
+
+
+_GSPAN = f"""WITH {O.GRAPH}, li AS (SELECT gid, 0 AS kind, vid AS a, 0 AS b, CASE WHEN NOT is_kernel_point AND NOT is_abstraction THEN 'W' WHEN NOT is_viewpoint AND NOT is_abstraction THEN 'V' ELSE 'v' END || ' ' || vid || ' ' || label AS t FROM gv
+UNION ALL SELECT gid, 1, src, dst, 'e ' || src || ' ' || dst || ' ' || label FROM ge WHERE src < dst)
+SELECT gid, 't\n' || string_agg(t, '\n' ORDER BY kind, a, b, t) || '\n' AS text FROM li GROUP BY gid""".replace("'t\n'", "'t' || chr(10)").replace("'\n'", "chr(10)")
+
+
+@query(_GSPAN)
+def export_gspan(spark, sf_dir):
+    return writers.export("gspan", *graph(spark, sf_dir))
+
+
+@query(f"WITH {O.GRAPH} SELECT e.gid, e.src, a.label AS src_label, e.dst, b.label AS dst_label, e.label FROM ge e JOIN gv a ON a.gid = e.gid AND a.vid = e.src JOIN gv b ON b.gid = e.gid AND b.vid = e.dst WHERE e.src < e.dst")
+def export_edges(spark, sf_dir):
+    return writers.export("csv", *graph(spark, sf_dir))
+
+
+@query()
+def export_dot(spark, sf_dir):
+    return writers.export("dot", *graph(spark, sf_dir))
+
+
+@query()
+def export_matrix(spark, sf_dir):
+    return writers.export("matrix", *graph(spark, sf_dir))
+
+
+@query(f"WITH {O.GRAPH} SELECT gid, vid FROM gv WHERE is_dead OR label = (SELECT min(label) FROM gv WHERE label <> '')")
+def killed_vertices(spark, sf_dir):
+    v = graph_ops.clean_vertices(table(spark, sf_dir, "vertices"))
+    label = v.where("label <> ''").agg(F.min("label")).first()[0]
+    return graph_ops.kill_by_label(v, label).where("is_dead").select("gid", "vid")
+
+
+@query(f"WITH {O.GRAPH}{O.distances(2)} SELECT q.gid, q.src, q.dst, coalesce(dist.d, -1) AS d FROM (SELECT DISTINCT gid, src, dst FROM ge) q LEFT JOIN dist USING (gid, src, dst)")
+def pair_distance(spark, sf_dir):
+    _, e, d = _distances(spark, sf_dir)
+    return graph_ops.pair_distance(e.select("gid", "src", "dst").distinct(), d)
+
+
+@query()
+def feature_dictionary(spark, sf_dir):
+    v, e = graph(spark, sf_dir)
+    return local_kernels.feature_dictionary(v.where("not is_abstraction"), e, local_kernels.Config(radius=1, distance=1))
+
+
+_VERTEX_PARTS = _PAIRS.replace("SELECT a.gid, a.r,", "SELECT a.gid, a.vid, a.r,").replace("SELECT gid, r, d, x, y, count(*)", "SELECT gid, vid, r, d, x, y, count(*)").replace("SELECT gid, r, d, least", "SELECT gid, vid, r, d, least").replace("SELECT gid, r, d, 0, cb", "SELECT gid, vid, r, d, 0, cb")
+_LAPLACE = _VERTEX_PARTS.replace("ce AS (SELECT gid, r, d, fid, sum(c)::DOUBLE AS c FROM", "ce AS (SELECT gid, vid, fid, sum(c)::DOUBLE AS c FROM") + """,
+sm AS (SELECT a.fid AS fid_i, b.fid AS fid_j, round(sum(b.c), 9) AS s FROM ce a JOIN ce b ON a.gid = b.gid AND a.vid = b.vid GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY fid_i ORDER BY s DESC, fid_j) AS r FROM sm),
+kp AS (SELECT rk.* FROM rk LEFT JOIN (SELECT fid_i, s AS bar FROM rk WHERE r = 11) b USING (fid_i) WHERE (bar IS NULL OR s > bar) AND fid_i <> fid_j)
+SELECT fid_i, fid_j, round(-s / sqrt(sum(s * s) OVER (PARTITION BY fid_i)), 6) AS v FROM kp UNION ALL SELECT DISTINCT fid_i, fid_i, 1.0 FROM sm"""
+
+
+@query(_LAPLACE)
+def correlation_laplacian(spark, sf_dir):
+    parts = kernels.vertex_vectors(_user_parts(spark, sf_dir))
+    return vectors_ops.correlation_laplacian(keep(parts), 10).withColumn("v", F.round("v", 6))
+
+
+@query("""WITH ln AS (SELECT nid, m_svector FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY loaded_at DESC NULLS LAST, recorded_at DESC NULLS LAST) AS k FROM nodes WHERE nid IS NOT NULL) WHERE k = 1),
+pe AS (SELECT nid, e.fid AS fid, e."value" AS v, count(*) AS m FROM (SELECT nid, unnest(m_svector['profile']) AS e FROM ln) WHERE e."value" <> 0 AND e.fid IS NOT NULL GROUP BY ALL)
+SELECT nid, fid, round(sum(v), 6) AS value, sum(m)::BIGINT AS occurrences FROM pe GROUP BY nid, fid HAVING sum(v) <> 0""")
+def node_profiles(spark, sf_dir):
+    return profile_entries(current_nodes(table(spark, sf_dir, "nodes"), ("m_svector",))).withColumn("value", F.round("value", 6))
+
+
+@query()
+def node_projections(spark, sf_dir):
+    entries = profile_entries(current_nodes(table(spark, sf_dir, "nodes"), ("m_svector",)))
+    return node_kernels.signed_projection(entries.select(F.col("nid").alias("gid"), "fid", "value"), 8).withColumn("value", F.round("value", 6))
+
+
+@query("""WITH ln AS (SELECT nid, m_svector FROM (SELECT *, row_number() OVER (PARTITION BY nid ORDER BY loaded_at DESC NULLS LAST, recorded_at DESC NULLS LAST) AS k FROM nodes WHERE nid IS NOT NULL) WHERE k = 1),
+pe AS (SELECT DISTINCT nid, fid FROM (SELECT nid, e.fid AS fid, e."value" AS v FROM (SELECT nid, unnest(m_svector['profile']) AS e FROM ln)) WHERE v <> 0 AND fid IS NOT NULL), kx AS (""" + O.int_hash("fid", "s", "SELECT nid, fid, unnest(range(1, 5)) AS s FROM pe", "nid, fid, s", "key") + """)
+SELECT nid AS gid, s AS k, arg_min(fid, {'key': key, 'fid': fid}) AS fid FROM kx GROUP BY ALL""")
+def node_minhash(spark, sf_dir):
+    entries = profile_entries(current_nodes(table(spark, sf_dir, "nodes"), ("m_svector",)))
+    return node_kernels.minhash_projection(entries.select(F.col("nid").alias("gid"), "fid", "value"), 4)
+
+
+@query()
+def node_features(spark, sf_dir):
+    current = current_nodes(table(spark, sf_dir, "nodes"), ("m_number", "m_discrete", "m_bool", "m_svector"))
+    return node_kernels.attribute_features(current).withColumn("value", F.round("value", 6))
