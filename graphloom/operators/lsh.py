@@ -71,9 +71,52 @@ def top_k(products: DataFrame, k: int = NEIGHBOURS, digits: int = 9) -> DataFram
     return rounded.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("gid", "rank", "nid", "k")
 
 
-def exact_neighbours(rows: DataFrame, columns: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
-    """The k column instances of largest product for every row instance, itself included."""
-    return top_k(dot_products(rows, columns), k)
+def _packed(features: DataFrame) -> DataFrame:
+    rows = features.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("fid", "value"))).alias("e"))
+    return rows.select("gid", F.col("e.fid").alias("fids"), F.col("e.value").alias("vals"))
+
+
+def exact_neighbours(rows: DataFrame, columns: DataFrame, k: int = NEIGHBOURS, digits: int = 9, block_rows: int = 2_000) -> DataFrame:
+    """The k column instances of largest product for every row instance, itself included; products of 0 are left out.
+
+    Blocks of rows meet blocks of columns as matrix products over slices of their features, and only the k best of each
+    row leave a task: no pair is ever shuffled, however many instances share a feature.
+    """
+    import numpy as np
+    import pandas as pd
+
+    a, b = _packed(rows), _packed(columns)
+    n, m = (max(1, -(-t.select("gid").distinct().count() // block_rows)) for t in (rows, columns))
+    part = lambda count: F.pmod(F.xxhash64("gid"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    asked = a.select(part(n).alias("i"), every(m).alias("j"), F.lit(True).alias("asks"), "gid", "fids", "vals")
+    given = b.select(every(n).alias("i"), part(m).alias("j"), F.lit(False).alias("asks"), "gid", "fids", "vals")
+
+    def products(frame: pd.DataFrame) -> pd.DataFrame:
+        p, q = frame[frame["asks"]], frame[~frame["asks"]].sort_values("gid")
+        if not len(p) or not len(q):
+            return pd.DataFrame({"gid_a": [], "gid_b": [], "k": []})
+        flat = [(np.repeat(np.arange(len(t)), t["fids"].map(len)), np.concatenate(t["fids"].to_list()), np.concatenate(t["vals"].to_list())) for t in (p, q)]
+        known = np.intersect1d(flat[0][1], flat[1][1])
+        total = np.zeros((len(p), len(q)))
+        for lo in range(0, len(known), 4096):
+            slice_ = known[lo : lo + 4096]
+            sides = []
+            for (of, fid, val), size in zip(flat, total.shape):
+                at = np.searchsorted(slice_, fid)
+                ok = (at < len(slice_)) & (slice_[np.minimum(at, len(slice_) - 1)] == fid)
+                dense = np.zeros((size, len(slice_)))
+                dense[of[ok], at[ok]] = val[ok]
+                sides.append(dense)
+            total += sides[0] @ sides[1].T
+        total = np.round(total, digits)
+        near = np.argsort(-total, axis=1, kind="stable")[:, :k]  # equal products stay in order of id
+        best = np.take_along_axis(total, near, 1)
+        i, j = np.nonzero(best != 0)
+        return pd.DataFrame({"gid_a": p["gid"].to_numpy()[i], "gid_b": q["gid"].to_numpy()[near[i, j]], "k": best[i, j]})
+
+    found = asked.unionByName(given).groupBy("i", "j").applyInPandas(products, "gid_a bigint, gid_b bigint, k double")
+    return top_k(found, k, digits)
 
 
 def approximate_neighbours(rows: DataFrame, columns: DataFrame, k: int = NEIGHBOURS, functions: int = FUNCTIONS, repeats: int = REPEATS, most: int = BUCKET, excess: float = EXCESS) -> DataFrame:

@@ -132,7 +132,7 @@ def nspdk_features(spark, sf_dir):
 SELECT g AS gid, (row_number() OVER (PARTITION BY g ORDER BY k DESC, nid))::INT AS rank, nid, k FROM dt QUALIFY rank <= 10""")
 def knn_users(spark, sf_dir):
     f = _user_features(spark, sf_dir)
-    return lsh.top_k(vectors_ops.dot_products(f, f), 10, 7)
+    return lsh.exact_neighbours(f, f, 10, 7)
 
 
 @query(_PAIRS + ", mk AS (" + O.h_list(["fid", "j"], "SELECT gid, fid, unnest(range(0, c::BIGINT)) AS j FROM (SELECT gid, fid, sum(c) AS c FROM ce GROUP BY ALL)", "gid", name="f") + ") SELECT DISTINCT gid, f AS fid, 1.0::DOUBLE AS value FROM mk")
