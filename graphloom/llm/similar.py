@@ -78,7 +78,7 @@ def _schema() -> pa.Schema:
     return pa.schema([("field_name", pa.string()), ("id_a", pa.int64()), ("id_b", pa.int64()), ("cosine", pa.float64())])
 
 
-def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.0, copies: int = 2, shard_rows: int = 8_000) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.0, copies: int = 3, shard_rows: int = 8_000) -> DataFrame:
     """``(field_name, id_a, id_b, cosine, rank)``: up to k other vectors of the field for every vector.
 
     ``vectors`` is ``(field_name, id, fids, vals)``, one row per vector, fids distinct, values finite and not zero.

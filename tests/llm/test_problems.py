@@ -94,6 +94,17 @@ def test_p2_recall_and_copies(spark, vectors):
     assert similar.most_similar(frame(spark, vectors).limit(0)).count() == 0
 
 
+def test_p2_meets_by_a_third_feature(spark):
+    rng, v = random.Random(7), {}
+    for g in range(40):  # members share only features that tell less than two of their own
+        for _ in range(10):
+            v[len(v)] = {1000 * g + f: 0.7 for f in range(20)} | {10**6 + rng.randrange(200): 1.0 for _ in range(2)}
+    got = similar.most_similar(frame(spark, v), 5, 0.8, shard_rows=50).collect()
+    rank = {a: sorted((-cosine(v[a], v[b]), b) for b in range(a // 10 * 10, a // 10 * 10 + 10) if b != a) for a in v}
+    truth = {(a, b) for a in v for c, b in rank[a][:5] if -c >= 0.8}
+    assert len(truth & {(r.id_a, r.id_b) for r in got}) >= 0.97 * len(truth)
+
+
 def test_p2_fields_never_meet(spark, vectors):
     both = frame(spark, vectors, "x").unionByName(frame(spark, vectors, "y"))
     got = similar.most_similar(both, 3, 0.9).groupBy("field_name").count().collect()
