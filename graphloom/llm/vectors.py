@@ -47,10 +47,10 @@ def route(vectors: DataFrame, total: int, copies: int, shard_rows: int) -> DataF
     """Send every vector to the shards of its ``copies`` most telling features.
 
     A feature tells more the larger its value and the fewer vectors hold it among their largest; one held by a single
-    vector tells nothing.  Features share shards of about ``shard_rows``; the load is linear in the data.  A feature
-    with more vectors than that is joined with the vector's next one; a shard still above it is divided into
-    parts of which every two meet, so that no task grows and no pair is lost.  Vectors without a shared
-    feature have no neighbour and are not sent.
+    vector tells nothing.  Features share shards of about ``shard_rows``.  A feature keeps its shard however many vectors
+    it sends there: a shard above twice ``shard_rows`` is divided into parts of which every two meet, so that no task grows
+    and no pair that shares a routing feature is lost; the tasks of a shard grow as the square of its parts.  Vectors
+    without a shared feature have no neighbour and are not sent.
 
     Returns ``(field_name, shard, first, second, asks, id, fids, vals)``; rows of part ``second`` ask those of ``first``.
     """
@@ -61,10 +61,8 @@ def route(vectors: DataFrame, total: int, copies: int, shard_rows: int) -> DataF
     counted = with_key_counts(keys, ["field_name", "f"], total * ROUTING_FEATURES, least=2)
     telling = counted.withColumn("s", F.col("s") * F.log1p(F.lit(float(total)) / F.col("n")))
     order = Window.partitionBy("field_name", "id").orderBy(F.desc("s"), "f")
-    ranked = telling.withColumn("r", F.row_number().over(order)).where(F.col("r") <= copies + 1)
-    ranked = ranked.withColumn("next", F.lead("f", 1).over(order))
-    own = F.when(F.col("n") > shard_rows, F.xxhash64("f", "next")).otherwise(F.xxhash64("f"))
-    chosen = ranked.where(F.col("r") <= copies).select("field_name", "id", own.alias("k"))
+    ranked = telling.withColumn("r", F.row_number().over(order)).where(F.col("r") <= copies)
+    chosen = ranked.select("field_name", "id", F.xxhash64("f").alias("k"))
     shards = max(1, -(-copies * total // shard_rows))
     chosen = chosen.select("field_name", "id", F.pmod("k", F.lit(shards)).cast("int").alias("shard")).distinct()
     chosen = keep(chosen)

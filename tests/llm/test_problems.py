@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.llm import clusters, distinct, kernels, mixing, neardup, packing, similar, spam, termfreq, tokens
+from graphloom.llm.vectors import TASK, route
 from graphloom.operators.nodes import current_nodes
 from graphloom.operators.records import mix64
 
@@ -105,6 +106,17 @@ def test_p2_meets_by_a_third_feature(spark):
     assert len(truth & {(r.id_a, r.id_b) for r in got}) >= 0.97 * len(truth)
 
 
+def test_route_keeps_the_pairs_of_a_heavy_feature(spark):
+    # all share their most telling feature and differ in every other one
+    v = {i: {1: 100.0, 10 + i % 15: 1.0, 30 + i // 15 % 15: 0.9} for i in range(120)}
+    rows = route(frame(spark, v), len(v), 1, 20).select(*TASK, "id").collect()
+    tasks = {}
+    for r in rows:
+        tasks.setdefault(r[:4], set()).add(r.id)
+    met = {p for m in tasks.values() for p in itertools.combinations(sorted(m), 2)}
+    assert len(met) == 120 * 119 // 2 and max(map(len, tasks.values())) < 120
+
+
 def test_p2_fields_never_meet(spark, vectors):
     both = frame(spark, vectors, "x").unionByName(frame(spark, vectors, "y"))
     got = similar.most_similar(both, 3, 0.9).groupBy("field_name").count().collect()
