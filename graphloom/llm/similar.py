@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.kernels import ShardVectors, SmallWorld, best, feature_seeds, once, refine, reverse_lists
+from graphloom.llm.kernels import ShardVectors, SmallWorld, best, feature_seeds, once, refine
 from graphloom.llm.vectors import TASK, collapse_copies, route
 from graphloom.operators.records import mix64
 from graphloom.store import keep
@@ -30,32 +30,39 @@ def open_shard(t: pa.Table):
     return ids, asks, ShardVectors(fids.flatten().to_numpy(), vals.flatten().to_numpy(), lengths), mix64(ids, 3).view(np.int64)
 
 
+def _hints(hints: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """The first of each line's hints among the rows from ``lo`` to ``hi``, numbered from ``lo``."""
+    return -np.sort(-once(np.where((hints >= lo) & (hints < hi), hints - lo, -1)), axis=1)[:, :HINTS]
+
+
+def _both_ways(points: np.ndarray, salt: np.ndarray, hints: np.ndarray, m: int, width: int) -> np.ndarray:
+    """For every row the rows met in the graph over its own part and in that over the other; the first part has ``m`` rows."""
+    n, ids = len(points), np.full((len(points), 2 * width), -1, np.int64)
+    for lo, hi in ((0, m), (m, n)):
+        inside = _hints(hints, lo, hi)
+        world = SmallWorld(points[lo:hi], salt[lo:hi], inside[lo:hi], DEGREE, width)
+        rest = np.r_[0:lo, hi:n]
+        for rows, got, at in ((np.arange(lo, hi), world.own()[0], 0), (rest, world.search(points[rest], inside[rest])[0], width)):
+            ids[rows, at : at + got.shape[1]] = np.where(got >= 0, got + lo, -1)
+    return ids
+
+
 def _shard_links(k: int, least: float):
     def links(t: pa.Table) -> pa.Table:
         field, apart = t["field_name"][0].as_py(), t["first"][0].as_py() != t["second"][0].as_py()
         ids, asks, sv, salt = open_shard(t)
         m = int((~asks).sum())
-        hints = feature_seeds(sv, salt, 6, 2)
-        hints[hints >= m] = -1
-        hints = -np.sort(-once(hints), axis=1)[:, :HINTS]
-        points = sv.sketch(SKETCH)
-        width = max(EF, k)
-        if m == 0 or apart and m == sv.n:
+        if apart and m in (0, sv.n):
             return pa.table({"field_name": [], "id_a": [], "id_b": [], "cosine": []}, _schema())
-        world = SmallWorld(points[:m], salt[:m], hints[:m], DEGREE, width)
+        hints, points, width = feature_seeds(sv, salt, 6, 2), sv.sketch(SKETCH), max(EF, k)
         if apart:
-            got, sims = world.search(points[m:], hints[m:])
-            back, _ = reverse_lists(got, sims, m, width)
-            ids_of = np.full((sv.n, width), -1, np.int64)
-            ids_of[m:, : got.shape[1]] = got
-            ids_of[:m] = np.where(back >= 0, back + m, -1)
+            ids_of, width = _both_ways(points, salt, hints, m, width), 2 * width
         else:
-            ids_of, _ = world.own()
+            ids_of, _ = SmallWorld(points, salt, _hints(hints, 0, sv.n), DEGREE, width).own()
         near, cos = best(ids_of.astype(np.int64), sv.cosines(np.arange(sv.n), ids_of), width)
-        if not apart:
-            for _ in range(3):
-                rows = np.flatnonzero((near[:, 0] >= 0) & (cos[:, 0] >= max(least, 0.2) - 0.2))
-                near, cos = refine(sv, near, cos, rows, width)
+        for _ in range(3):
+            rows = np.flatnonzero((near[:, 0] >= 0) & (cos[:, 0] >= max(least, 0.2) - 0.2))
+            near, cos = refine(sv, near, cos, rows, width)
         cos = np.round(np.clip(cos, -1, 1), 6)
         i, j = np.nonzero((near >= 0) & (cos >= least))
         a, b, c = ids[i], ids[near[i, j]], cos[i, j]

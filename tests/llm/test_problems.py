@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,21 @@ def test_p2_meets_by_a_third_feature(spark):
     assert len(truth & {(r.id_a, r.id_b) for r in got}) >= 0.97 * len(truth)
 
 
+def test_p2_parts_are_searched_both_ways():
+    v = make_vectors(11, [(150, 4), (150, 4)], 1)
+    ids, first = sorted(v), {i: mix64(np.array([i]), 5)[0] % 2 == 0 for i in v}
+    t = pa.table({
+        "field_name": ["f"] * len(ids), "first": [0] * len(ids), "second": [1] * len(ids), "asks": [not first[i] for i in ids], "id": ids,
+        "fids": pa.array([sorted(v[i]) for i in ids], pa.list_(pa.int64())), "vals": pa.array([[v[i][f] for f in sorted(v[i])] for i in ids], pa.list_(pa.float64())),
+    })
+    got = similar._shard_links(5, 0.5)(t)
+    mine = set(zip(got["id_a"].to_pylist(), got["id_b"].to_pylist()))
+    across = {(a, b) for a, b in brute_similar(v, 5, 0.5) if first[a] != first[b]}
+    for side in (True, False):
+        of_side = {p for p in across if first[p[0]] == side}
+        assert len(of_side & mine) >= 0.95 * len(of_side) > 50
+
+
 def test_route_keeps_the_pairs_of_a_heavy_feature(spark):
     # all share their most telling feature and differ in every other one
     v = {i: {1: 100.0, 10 + i % 15: 1.0, 30 + i // 15 % 15: 0.9} for i in range(120)}
