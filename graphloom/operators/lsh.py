@@ -1,4 +1,4 @@
-"""Min-hash signatures, candidates and nearest neighbours as joins; large buckets are dropped before any self-join."""
+"""Min-hash signatures, candidates and nearest neighbours as joins; large buckets are never self-joined."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.hashing import int_hash
 from graphloom.operators.vectors_ops import dot_products
+from graphloom.store import keep
 
 #: Signature shape, bucket bound and candidate excess by default (fixed values).
 FUNCTIONS, REPEATS, BUCKET, EXCESS, NEIGHBOURS = 400, 10, 1000, 5.0, 10
@@ -119,14 +120,22 @@ def exact_neighbours(rows: DataFrame, columns: DataFrame, k: int = NEIGHBOURS, d
     return top_k(found, k, digits)
 
 
-def approximate_neighbours(rows: DataFrame, columns: DataFrame, k: int = NEIGHBOURS, functions: int = FUNCTIONS, repeats: int = REPEATS, most: int = BUCKET, excess: float = EXCESS) -> DataFrame:
-    """Candidates by signature, then their exact products; three shuffles and no pair outside a bucket."""
-    signed = signatures(rows, functions, repeats)
-    indexed = index(signatures(columns, functions, repeats), most=most)
-    pairs = candidates(signed, indexed, k, excess).select(F.col("gid").alias("gid_a"), F.col("nid").alias("gid_b"))
+def approximate_neighbours(rows: DataFrame, columns: DataFrame, k: int = NEIGHBOURS, functions: int = FUNCTIONS, repeats: int = REPEATS, most: int = BUCKET, excess: float = EXCESS, whole: bool = True) -> DataFrame:
+    """Candidates by signature, then their exact products; no pair outside a bucket is met.
+
+    Buckets of ``most`` instances or more are not self-joined.  Their instances meet each other exactly instead, block
+    against block, so that they lose no neighbour; without ``whole`` such buckets are dropped.
+    """
+    signed, given = keep(signatures(rows, functions, repeats)), keep(signatures(columns, functions, repeats))
+    pairs = candidates(signed, index(given, most=most), k, excess).select(F.col("gid").alias("gid_a"), F.col("nid").alias("gid_b"))
     a = rows.select(F.col("gid").alias("gid_a"), "fid", F.col("value").alias("x"))
     b = columns.select(F.col("gid").alias("gid_b"), "fid", F.col("value").alias("y"))
     products = pairs.join(a, "gid_a").join(b, ["gid_b", "fid"], "left").groupBy("gid_a", "gid_b").agg(F.coalesce(F.sum(F.col("x") * F.col("y")), F.lit(0.0)).alias("k"))
+    if whole:
+        large = keep(given.where("key <> 0").groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most).select("slot", "key"))
+        inside = lambda t, s: keep(t.join(s.join(large, ["slot", "key"], "left_semi").select("gid").distinct(), "gid", "left_semi"))
+        met = exact_neighbours(inside(rows, signed), inside(columns, given), k)
+        products = products.unionByName(met.select(F.col("gid").alias("gid_a"), F.col("nid").alias("gid_b"), "k")).groupBy("gid_a", "gid_b").agg(F.max("k").alias("k"))
     return top_k(products, k)
 
 

@@ -202,3 +202,17 @@ def test_sampling(spark):
     draws, out = sampling.bootstrap(ids)
     assert draws.count() == 1000 and 250 < out.count() < 480
     assert sampling.random_instances(spark, 20, 10, 0.5).select("gid").distinct().count() <= 20
+
+
+def test_large_buckets_lose_no_neighbour(spark):
+    def value(g, f):
+        return 1.0 + (g * 31 + f * 17) % 23 / 100
+
+    rows = [(g, f, value(g, f)) for g in range(150) for f in range(30)]  # all signatures equal, all buckets too large
+    rows += [(g, 1000 + g // 5 * 40 + f, value(g, f)) for g in range(150, 200) for f in range(30)]
+    f = spark.createDataFrame(rows, "gid bigint, fid bigint, value double")
+    exact = lsh.exact_neighbours(f, f, 5)
+    got = lsh.accuracy(lsh.approximate_neighbours(f, f, 5, most=100), exact, 5).agg(F.avg("accuracy"), F.count("*")).first()
+    assert got[0] >= 0.9 and got[1] == 200
+    dropped = lsh.accuracy(lsh.approximate_neighbours(f, f, 5, most=100, whole=False), exact, 5).where("gid < 150").agg(F.max("accuracy")).first()[0]
+    assert dropped == 0
