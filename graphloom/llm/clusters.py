@@ -45,12 +45,21 @@ def neighbour_graph(vectors: DataFrame, total: int, k: int, least: float, rounds
     return routed.groupBy(*TASK).applyInArrow(_shard_edges(k, least, rounds), EDGES).dropDuplicates(["a", "b"])
 
 
-def modularity_communities(edges: DataFrame, rounds: int = 2, levels: int = 3) -> DataFrame:
+def _modularity(links: DataFrame, state: DataFrame, total: float) -> float:
+    """Weight of ``links`` inside the communities of ``state (node, k, c)`` as part of all, less what degrees alone would give."""
+    la, lb = (state.select(F.col("node").alias(x), F.col("c").alias("c" + x)) for x in "ab")
+    inside = links.join(la, "a").join(lb, "b").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+    squares = state.groupBy("c").agg(F.sum("k").alias("v")).agg(F.sum(F.col("v") * F.col("v"))).first()[0]
+    return inside / total - squares / total**2
+
+
+def modularity_communities(edges: DataFrame, patience: int = 4) -> DataFrame:
     """``(id, community)`` of every end of ``edges (a, b, w)`` by parallel local moving for modularity.
 
     In a level's first round every node may join the neighbouring community of highest gain among those of smaller names; in
-    later rounds the nodes of the round's parity may join any.  Ties go to the smaller community.  Communities are then contracted
-    and moved as nodes, so that the graph soon is small.  Only sums per (node, community) are shuffled, aggregated before the
+    later rounds half of the nodes, others in each round, may join any.  Ties go to the smaller community.  A level ends when no
+    node would move, or when ``patience`` rounds brought no higher modularity, and then keeps its best division.  Communities
+    are contracted and moved as nodes until a level raises the modularity no more.  Only sums per (node, community) are shuffled, aggregated before the
     shuffle, so a community of any size is never gathered.
     """
     both = edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
@@ -59,10 +68,13 @@ def modularity_communities(edges: DataFrame, rounds: int = 2, levels: int = 3) -
     labels = links.select(F.col("a").alias("id")).distinct().select("id", F.col("id").alias("community"))
     if not total:
         return labels
-    for level in range(levels):
+    reached = None
+    while True:
         degrees = links.groupBy(F.col("a").alias("node")).agg(F.sum("w").alias("k"))
         state = keep(degrees.select("node", "k", F.col("node").alias("c")))
-        for turn in range(rounds):
+        best, high, since, turn = state, _modularity(links, state, total), 0, 0
+        reached = high if reached is None else reached
+        while since < patience:
             volume = state.groupBy("c").agg(F.sum("k").alias("volume"))
             pull = (
                 links.where("a <> b").join(state.select(F.col("node").alias("b"), "c"), "b")
@@ -77,22 +89,33 @@ def modularity_communities(edges: DataFrame, rounds: int = 2, levels: int = 3) -
                 .select("node", "k", "c", "to", F.round(gain, 9).alias("gain"))
             )
             moved = scored.groupBy("node", "k", "c").agg(F.min_by("to", F.struct(-F.col("gain"), "to")).alias("to"))
-            may = F.lit(True) if turn == 0 else F.pmod(F.xxhash64("node"), F.lit(2)) == turn % 2
-            state = keep(moved.select("node", "k", F.when(may, F.col("to")).otherwise(F.col("c")).alias("c")))
+            may = F.lit(True) if turn == 0 else F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+            state = keep(moved.select("node", "k", F.when(may, F.col("to")).otherwise(F.col("c")).alias("c"), (F.col("to") != F.col("c")).alias("wants")))
+            restless = state.where("wants").limit(1).count()
+            state = state.drop("wants")
+            if turn and not restless:
+                break
+            now = _modularity(links, state, total)
+            if now > high + 1e-9:
+                best, high, since = state, now, 0
+            else:
+                since += 1
+            turn += 1
+        if high <= reached + 1e-9:
+            return labels
+        reached, state = high, best
         labels = keep(labels.join(state.select(F.col("node").alias("community"), F.col("c").alias("next")), "community").select("id", F.col("next").alias("community")))
-        if level + 1 < levels:
-            ends = state.select("node", "c")
-            up = links.join(ends.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(ends.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
-            links = keep(up.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
-    return labels
+        ends = state.select("node", "c")
+        up = links.join(ends.select(F.col("node").alias("a"), F.col("c").alias("ca")), "a").join(ends.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b")
+        links = keep(up.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")))
 
 
-def clustered(vectors: DataFrame, k: int = 10, least: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Edges, ``(id, community)`` of representatives, members of classes of copies, and the representatives' vectors."""
+def clustered(vectors: DataFrame, divide, k: int = 10, least: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Edges, ``(id, community)`` of representatives by ``divide(edges)``, members of classes of copies, and the representatives' vectors."""
     reps, members, total = collapse_copies(vectors)
     edges = keep(neighbour_graph(reps, total, k, least))
     alone = members.select(F.col("rep").alias("id")).distinct()  # a class of copies is a group even without neighbours
-    labels = modularity_communities(edges)
+    labels = divide(edges)
     labels = keep(labels.unionByName(alone.join(labels, "id", "left_anti").select("id", F.col("id").alias("community"))))
     return edges, labels, members, reps
 
@@ -105,7 +128,7 @@ def similarity_clusters(vectors: DataFrame, k: int = 10, least: float = 0.5, typ
     within the cluster, and 1 for each other copy of it; ties go to the smaller id.  ``cluster`` is the smallest id.
     An empty table gives none.
     """
-    edges, labels, members, _ = clustered(vectors, k, least)
+    edges, labels, members, _ = clustered(vectors, modularity_communities, k, least)
     la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
     inside = edges.join(la, "a").join(lb, "b").where("ca = cb")
     degree = inside.select(F.col("a").alias("id"), "w").unionByName(inside.select(F.col("b").alias("id"), "w")).groupBy("id").agg(F.sum("w").alias("d"))
@@ -143,14 +166,12 @@ def _block_pairs(least: float):
 def tight_pairs(vectors: DataFrame, k: int = 10, least: float = 0.5, smallest: int = 5) -> DataFrame:
     """``(gid_a, gid_b)`` of records in a cluster of which any two reach ``least`` and no record outside reaches one inside.
 
-    Such a cluster is a union of communities joined by edges of the neighbour graph.  Unions that cannot be one, as
-    their vectors' sum is too short, are left out by an aggregate; the rest is verified exactly, block against block.
+    Such a cluster is a connected component of the neighbour graph; communities play no part.  Components that cannot be one,
+    as their vectors' sum is too short, are left out by an aggregate; that any two inside reach ``least`` is verified exactly,
+    block against block.  That nobody outside does is known only from the approximate graph.
     """
-    edges, labels, members, reps = clustered(vectors, k, least)
-    la, lb = labels.toDF("a", "ca"), labels.toDF("b", "cb")
-    between = edges.join(la, "a").join(lb, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
-    joined = components(between)
-    union = labels.join(joined.toDF("community", "root"), "community", "left").select("id", F.coalesce("root", "community").alias("group"))
+    _, labels, members, reps = clustered(vectors, lambda edges: components(edges).toDF("id", "community"), k, least)
+    union = labels.withColumnRenamed("community", "group")
     counts = members.groupBy(F.col("rep").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     union = keep(union.join(counts, "id", "left").select("id", "group", F.coalesce("n", F.lit(1)).alias("n")))
     size = union.groupBy("group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("size")).where(F.col("size") >= smallest)

@@ -160,6 +160,18 @@ def test_p1_modularity_divides_two_cliques(spark):
     assert len({got[i] for i in range(6)}) == 1 and got[0] != got[10] and len(set(got.values())) == 2
 
 
+def test_p1_modularity_converges_on_a_long_chain(spark):
+    n = 64  # a path: the best divisions have runs of several nodes, which few rounds do not reach from single nodes
+    edges = [(a, a + 1, 1.0) for a in range(n - 1)]
+    label = {r.id: r.community for r in clusters.modularity_communities(spark.createDataFrame(edges, clusters.EDGES)).collect()}
+    volume = {}
+    for a in range(n):
+        volume[label[a]] = volume.get(label[a], 0) + (1 if a in (0, n - 1) else 2)
+    total = 2.0 * (n - 1)
+    inside = sum(label[a] == label[b] for a, b, _ in edges)
+    assert inside * 2 / total - sum(v * v for v in volume.values()) / total**2 > 0.7
+
+
 def brute_sets(sets, t):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a]) >= 8 and len(sets[b]) >= 8 and round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) >= t}
 
