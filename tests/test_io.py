@@ -158,3 +158,9 @@ def test_streams_equal_batches(spark, inputs, tmp_path):
     scoring.count_buckets(stream, str(tmp_path / "buckets"), str(tmp_path / "c2"), 40, 4).awaitTermination()
     batch = lsh.signatures(inputs["features"], 40, 4).groupBy("slot", "key").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(map(tuple, scoring.bucket_totals(spark, str(tmp_path / "buckets")).collect())) == sorted(map(tuple, batch.collect()))
+
+
+@pytest.mark.parametrize("name,value", [("topological_regularization_num_neighbors", 5), ("topological_regularization_decay_rate", 0.1), ("num_random_projections", 3), ("num_restarts", 2), ("refine_neighborhood_size", 5), ("neighborhood_size_range", 2), ("tau_exponent_range", 2), ("initial_embedding_coordinates_file_name", "x")])
+def test_missing_options_raise(name, value):
+    with pytest.raises(NotImplementedError):
+        Options(action="TRAIN", **{name: value})
