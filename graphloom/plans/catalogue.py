@@ -468,22 +468,22 @@ def feature_scaled(spark, sf_dir):
 
 @query()
 def svm_train(spark, sf_dir):
-    return learning.train(long_features(spark, sf_dir), clean_targets(spark, sf_dir), learning.TrainConfig(epochs=3))
+    return learning.train(long_features(spark, sf_dir), clean_targets(spark, sf_dir), learning.TrainConfig(epochs=10))
 
 
 @query()
 def cross_validation(spark, sf_dir):
-    return learning.cross_validate(long_features(spark, sf_dir), clean_targets(spark, sf_dir), 5, learning.TrainConfig(epochs=2))
+    return learning.cross_validate(long_features(spark, sf_dir), clean_targets(spark, sf_dir), 10, learning.TrainConfig(epochs=10))
 
 
 @query()
 def self_training(spark, sf_dir):
-    return learning.self_train(long_features(spark, sf_dir), clean_targets(spark, sf_dir), rounds=1, config=learning.TrainConfig(epochs=2))
+    return learning.self_train(long_features(spark, sf_dir), clean_targets(spark, sf_dir), rounds=3, config=learning.TrainConfig(epochs=10))
 
 
 @query()
 def embed_places(spark, sf_dir):
-    return learning.embed(_neighbours(spark, sf_dir), iterations=50)
+    return learning.embed(_neighbours(spark, sf_dir), iterations=5000)
 
 
 @query(f"WITH {O.CURRENT} SELECT gid, fid, value FROM fv")

@@ -164,3 +164,19 @@ def test_streams_equal_batches(spark, inputs, tmp_path):
 def test_missing_options_raise(name, value):
     with pytest.raises(NotImplementedError):
         Options(action="TRAIN", **{name: value})
+
+
+def test_learning_queries_run_the_whole_job(monkeypatch):
+    from graphloom.plans import catalogue
+    from graphloom.plans.options import DEFAULTS
+
+    seen = {}
+    for name in ("train", "cross_validate", "self_train", "embed"):
+        monkeypatch.setattr(catalogue.learning, name, lambda *a, _name=name, **k: seen.update({_name: (a, k)}))
+    for name in ("long_features", "clean_targets", "_neighbours"):
+        monkeypatch.setattr(catalogue, name, lambda *a: None)
+    for name in ("svm_train", "cross_validation", "self_training", "embed_places"):
+        catalogue.QUERIES[name](None, None)
+    assert seen["train"][0][2].epochs == seen["cross_validate"][0][3].epochs == seen["self_train"][1]["config"].epochs == DEFAULTS["epochs"]
+    assert seen["cross_validate"][0][2] == DEFAULTS["num_cross_validation_folds"] and seen["self_train"][1]["rounds"] == DEFAULTS["num_iterations"]
+    assert seen["embed"][1]["iterations"] == DEFAULTS["embed_iterations"]
