@@ -16,13 +16,16 @@ _CELLS = 1 << 20
 
 
 class ShardVectors:
-    """Sparse rows of one shard with exact cosines between any of them."""
+    """Sparse rows of one shard with exact cosines between any of them.
 
-    def __init__(self, fids: np.ndarray, vals: np.ndarray, lengths: np.ndarray):
+    ``normed`` values are parts of unit vectors already; others are divided by the norms of their rows.
+    """
+
+    def __init__(self, fids: np.ndarray, vals: np.ndarray, lengths: np.ndarray, normed: bool = False):
         n = len(lengths)
         self.n = n
         self.rows = np.repeat(np.arange(n), lengths)
-        norm = np.sqrt(np.bincount(self.rows, vals * vals, n))
+        norm = np.ones(n) if normed else np.sqrt(np.bincount(self.rows, vals * vals, n))
         self.unit = vals / np.where(norm > 0, norm, 1)[self.rows]
         self.fids = fids
         _, code, count = np.unique(fids, return_inverse=True, return_counts=True)
@@ -199,14 +202,29 @@ def neighbour_descent(vectors: ShardVectors, salt: np.ndarray, k: int, floor: fl
     return ids, sims, leader
 
 
-def refine(vectors: ShardVectors, ids: np.ndarray, sims: np.ndarray, rows: np.ndarray, width: int):
-    """Exact lists of ``rows`` after also trying the neighbours of their neighbours; others stay as they are."""
-    near = ids[rows]
-    hop = np.where((near >= 0)[:, :, None], ids[:, :width][near], -1).reshape(len(rows), -1)
-    cand = -np.sort(-once(hop, near, rows), axis=1)
-    cand = cand[:, : max(1, int((cand >= 0).sum(1).max(initial=0)))]
-    ids, sims = ids.copy(), sims.copy()
-    ids[rows], sims[rows] = best(np.c_[near, cand], np.c_[sims[rows], vectors.cosines(rows, cand)], ids.shape[1])
+def refine(vectors: ShardVectors, ids: np.ndarray, sims: np.ndarray, rows: np.ndarray, hops: int, back: int, rounds: int):
+    """Exact lists of ``rows`` after also trying the rows that list them and the first ``hops`` neighbours of all those; others stay.
+
+    A row is tried again as long as its own list or that of a neighbour has changed.
+    """
+    n = len(ids)
+    ids, sims, want = ids.copy(), sims.copy(), np.zeros(n, bool)
+    want[rows] = True
+    for _ in range(rounds):
+        if not len(rows):
+            break
+        rev, _ = reverse_lists(ids, sims, n, back)
+        both = np.c_[ids[rows], rev[rows]]
+        hop = np.where((both >= 0)[:, :, None], ids[:, :hops][both], -1).reshape(len(rows), -1)
+        cand = -np.sort(-once(np.c_[hop, rev[rows]], ids[rows], rows), axis=1)
+        cand = cand[:, : max(1, int((cand >= 0).sum(1).max(initial=0)))]
+        near, got = best(np.c_[ids[rows], cand], np.c_[sims[rows], vectors.cosines(rows, cand)], ids.shape[1])
+        changed = np.zeros(n, bool)
+        changed[rows] = (near[:, :hops] != ids[rows][:, :hops]).any(1)
+        ids[rows], sims[rows] = near, got
+        if not changed.any():
+            break
+        rows = np.flatnonzero(want & (changed | np.where(ids >= 0, changed[ids], False).any(1)))
     return ids, sims
 
 

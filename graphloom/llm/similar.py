@@ -1,6 +1,6 @@
 """Problem 2: the most similar vectors of every vector, by navigable small-world graphs per shard.
 
-Vectors go to the shards of their most telling features (``vectors.route``).  A shard builds a hierarchical
+Vectors that can reach the least cosine go to the shards of their most telling features (``vectors.route``).  A shard builds a hierarchical
 small-world graph over a signed sketch, held as flat neighbour arrays; the rows that each search met are
 scored by their exact cosines, then once more with the neighbours of their neighbours.  The lists of all shards are merged.
 """
@@ -13,21 +13,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.kernels import ShardVectors, SmallWorld, best, feature_seeds, once, refine
-from graphloom.llm.vectors import TASK, collapse_copies, route
+from graphloom.llm.vectors import TASK, classes_of_copies, route, shared_units
 from graphloom.operators.records import mix64
 from graphloom.store import keep
 
 SKETCH, DEGREE, EF, HINTS = 64, 6, 12, 8
+#: Neighbours that a neighbour proposes, rows listing a row that count as its neighbours, and rounds.
+REFINE = 8, 6, 4
 LINKS = "field_name string, id_a bigint, id_b bigint, cosine double"
 
 
 def open_shard(t: pa.Table):
-    """Ids, whether the row only asks, and the vectors, the asking rows last."""
+    """Ids, whether the row only asks, and the unit vectors, the asking rows last."""
     t = t.sort_by([("asks", "ascending"), ("id", "ascending")])
     ids, asks = t["id"].to_numpy(), t["asks"].to_numpy()
     fids, vals = t["fids"].combine_chunks(), t["vals"].combine_chunks()
     lengths = fids.value_lengths().to_numpy()
-    return ids, asks, ShardVectors(fids.flatten().to_numpy(), vals.flatten().to_numpy(), lengths), mix64(ids, 3).view(np.int64)
+    return ids, asks, ShardVectors(fids.flatten().to_numpy(), vals.flatten().to_numpy(), lengths, normed=True), mix64(ids, 3).view(np.int64)
 
 
 def _hints(hints: np.ndarray, lo: int, hi: int) -> np.ndarray:
@@ -60,9 +62,8 @@ def _shard_links(k: int, least: float):
         else:
             ids_of, _ = SmallWorld(points, salt, _hints(hints, 0, sv.n), DEGREE, width).own()
         near, cos = best(ids_of.astype(np.int64), sv.cosines(np.arange(sv.n), ids_of), width)
-        for _ in range(3):
-            rows = np.flatnonzero((near[:, 0] >= 0) & (cos[:, 0] >= max(least, 0.2) - 0.2))
-            near, cos = refine(sv, near, cos, rows, width)
+        rows = np.flatnonzero((near[:, 0] >= 0) & (cos[:, 0] >= max(least, 0.2) - 0.2))
+        near, cos = refine(sv, near, cos, rows, *REFINE)
         cos = np.round(np.clip(cos, -1, 1), 6)
         i, j = np.nonzero((near >= 0) & (cos >= least))
         a, b, c = ids[i], ids[near[i, j]], cos[i, j]
@@ -85,7 +86,7 @@ def _schema() -> pa.Schema:
     return pa.schema([("field_name", pa.string()), ("id_a", pa.int64()), ("id_b", pa.int64()), ("cosine", pa.float64())])
 
 
-def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.0, copies: int = 3, shard_rows: int = 8_000) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.0, features: int = 3, shard_rows: int = 4_000) -> DataFrame:
     """``(field_name, id_a, id_b, cosine, rank)``: up to k other vectors of the field for every vector.
 
     ``vectors`` is ``(field_name, id, fids, vals)``, one row per vector, fids distinct, values finite and not zero.
@@ -94,12 +95,14 @@ def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.0, copies: int
     * which vectors are met is approximate; identical vectors are handled exactly, in classes of any size;
     * a vector without a feature in common with another has no row; an empty table gives none.
     """
-    reps, members, total = collapse_copies(vectors)
+    units = keep(shared_units(vectors, least, features))
+    total = units.count()
     if not total:
         return vectors.sparkSession.createDataFrame([], LINKS + ", rank int")
-    routed = route(reps, total, copies, shard_rows)
+    members = classes_of_copies(units, total)
+    routed = route(units, members, total, shard_rows)
     found = routed.groupBy(*TASK).applyInArrow(_shard_links(k, least), LINKS)
-    links = found.repartition("field_name", "id_a").dropDuplicates(["field_name", "id_a", "id_b"])
+    links = found.dropDuplicates(["field_name", "id_a", "id_b"])
     by_cosine = Window.partitionBy("field_name", "id_a").orderBy(F.desc("cosine"), "id_b")
     links = keep(links.withColumn("rank", F.row_number().over(by_cosine)).where(F.col("rank") <= k).drop("rank"))
 

@@ -1,18 +1,32 @@
-"""The vector fields of the test tables, identical vectors, and routing of vectors to shards."""
+"""The vector fields of the test tables, their shared entries, identical vectors, and the routing of vectors to shards.
+
+Entries travel in blocks: a task sends one row of parallel arrays to every bucket instead of one row per entry, so counting the
+holders of every feature costs array operations and few rows, whatever the size of the collection.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.nodes import current_nodes, profile_vectors
-from graphloom.operators.records import current_vectors
-from graphloom.operators.skew import hashed_key, salted_lookup, with_key_counts
+from graphloom.operators.records import current_vectors, mix64
+from graphloom.operators.skew import salted_lookup
 from graphloom.store import keep
 
 INSTANCES, PROFILES, DISCRETE = "mp_instance", "m_svector", "m_discrete"
-#: Features of a vector, by absolute value, that may route it.
-ROUTING_FEATURES = 8
+#: Entries that a task gathers before it sends them on.
+CHUNK = 1_000_000
+#: A feature held by more than one in HOT of a task's vectors travels as a count and spreads over all buckets.
+HOT, HOT_ROWS = 64, 2048
+#: A feature with up to this many holders shares its shard with the features that occur beside it.
+LIGHT = 512
+BLOCK = "bucket int, field_name string, ids array<bigint>, fids array<bigint>, vals array<double>, counts array<int>"
+UNIT = "field_name string, id bigint, fids array<bigint>, vals array<double>, h1 bigint, h2 bigint, light array<bigint>, anchor bigint, own array<bigint>"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,51 +42,200 @@ def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_vectors(nodes).select(F.lit(PROFILES).alias("field_name"), "id", "fids", "vals")
 
 
-def collapse_copies(vectors: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Representatives, the members of classes of identical vectors, and the number of vectors.
+def _blocks(field: str, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket with the entries that go there."""
+    order = np.argsort(bucket, kind="stable")
+    sent = bucket[order]
+    start = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
+    offsets = pa.array(np.r_[start, len(sent)].astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
+    return pa.RecordBatch.from_arrays([pa.array(sent[start].astype(np.int32)), pa.array([field] * len(start), pa.string()), *lists], names=["bucket", "field_name", "ids", "fids", "vals", "counts"])
+
+
+def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch[name].flatten().to_numpy(zero_copy_only=False)
+
+
+def _by_field(batches: Iterator[pa.RecordBatch], names: list[str]):
+    """Flat arrays of the list columns of all batches, by field."""
+    held: dict[str, list] = {}
+    for batch in batches:
+        for field in batch["field_name"].unique().to_pylist():
+            part = batch.filter(pa.compute.equal(batch["field_name"], field))
+            held.setdefault(field, []).append([_flat(part, n) for n in names])
+    for field in sorted(held):
+        yield field, [np.concatenate(c) for c in zip(*held[field])]
+
+
+def _to_features(buckets: int):
+    """Entries of unit vectors, to the bucket of their feature; those of hot features to any bucket, with their share in counts."""
+
+    def send(field: str, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lengths = np.concatenate([p["fids"].value_lengths().to_numpy() for p in parts])
+        n = len(lengths)
+        row = np.repeat(np.arange(n), lengths)
+        ids = np.concatenate([p["id"].to_numpy() for p in parts])[row]
+        fids, vals = (np.concatenate([_flat(p, c) for p in parts]) for c in ("fids", "vals"))
+        norm = np.sqrt(np.bincount(row, vals * vals, n))
+        vals = vals / np.where(norm > 0, norm, 1)[row]
+        counts = np.zeros(len(fids), np.int32)
+        bucket = (mix64(fids, 11) % np.uint64(buckets)).astype(np.int64)
+        if n >= HOT_ROWS:
+            seen, code, held = np.unique(fids, return_inverse=True, return_counts=True)
+            hot = held * HOT > n
+            at = hot[code]
+            bucket[at] = (mix64(ids[at], 13) % np.uint64(buckets)).astype(np.int64)
+            counts[at] = -np.maximum(1, held[code[at]] * 1_000_000 // n)
+            ids, fids, bucket = np.r_[ids, held[hot]], np.r_[fids, seen[hot]], np.r_[bucket, (mix64(seen[hot], 11) % np.uint64(buckets)).astype(np.int64)]
+            vals, counts = np.r_[vals, np.full(hot.sum(), np.nan)], np.r_[counts, np.zeros(hot.sum(), np.int32)]
+        return _blocks(field, bucket, [ids, fids, vals, counts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        rows: dict[str, int] = {}
+        for batch in batches:
+            for field in batch["field_name"].unique().to_pylist():
+                part = batch.filter(pa.compute.equal(batch["field_name"], field))
+                held.setdefault(field, []).append(part)
+                rows[field] = rows.get(field, 0) + len(part["fids"].flatten())
+                if rows[field] >= CHUNK:
+                    yield send(field, held.pop(field))
+                    rows[field] = 0
+        for field in sorted(held):
+            yield send(field, held[field])
+
+    return run
+
+
+def _count_holders(buckets: int):
+    """Entries with the holders of their feature, to the bucket of their vector; entries without a second holder end here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for field, (ids, fids, vals, counts) in _by_field(batches, ["ids", "fids", "vals", "counts"]):
+            hot, total = counts < 0, np.isnan(vals)
+            plain = ~hot
+            _, code = np.unique(fids[plain], return_inverse=True)
+            held = np.bincount(code, np.where(total[plain], ids[plain], 1)).astype(np.int64)
+            counts = counts.copy()
+            counts[plain] = np.minimum(held[code], np.iinfo(np.int32).max)
+            go = ~total & (hot | (counts > 1))
+            bucket = (mix64(ids[go], 5) % np.uint64(buckets)).astype(np.int64)
+            if len(bucket):
+                yield _blocks(field, bucket, [ids[go], fids[go], vals[go], counts[go]])
+
+    return run
+
+
+def _ranked(groups: np.ndarray) -> np.ndarray:
+    if not len(groups):
+        return np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]])
+    return np.arange(len(groups)) - np.repeat(starts, np.diff(np.r_[starts, len(groups)]))
+
+
+def _assemble(buckets: int, least: float, features: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for field, (ids, fids, vals, counts) in _by_field(batches, ["ids", "fids", "vals", "counts"]):
+            order = np.lexsort((fids, ids))
+            ids, fids, vals, counts = ids[order], fids[order], vals[order], counts[order].astype(np.int64)
+            start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+            n = len(start)
+            counts = np.where(counts < 0, np.maximum(2, -counts * n * buckets // 1_000_000), counts)
+            row = np.repeat(np.arange(n), np.diff(np.r_[start, len(ids)]))
+            shared = np.bincount(row, vals * vals, n)
+            live = shared >= least * least - 1e-6  # a cosine never exceeds the norm of the shared entries
+            go = live[row]
+            key, ids, fids, vals, counts = ids[start][live], ids[go], fids[go], vals[go], counts[go]
+            whole = shared[live] >= 1 - 1e-9  # only a vector without entries of its own can have copies
+            n = len(key)
+            if not n:
+                continue
+            row = (np.cumsum(live) - 1)[row[go]]
+            lengths = np.bincount(row, minlength=n)
+            starts = np.cumsum(lengths) - lengths
+            entry = mix64(fids, 17) ^ mix64(np.round(vals * 1e10).astype(np.int64), 19)
+            hashes = [np.add.reduceat(mix64(entry.view(np.int64), s), starts).view(np.int64) for s in (23, 29)]
+
+            score = np.abs(vals) / np.sqrt(np.sqrt(counts))
+            order = np.lexsort((fids, -score, row))
+            top = order[_ranked(row[order]) < features]
+            of, f, light = row[top], fids[top], counts[top] <= LIGHT
+            label = mix64(f, 31).view(np.int64)
+            anchor = np.full(n, np.iinfo(np.int64).max)
+            np.minimum.at(anchor, of[light], label[light])
+
+            def lists(at, what):
+                return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.bincount(of[at], minlength=n))].astype(np.int32)), pa.array(what[at]))
+
+            offsets = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+            out = pa.RecordBatch.from_arrays(
+                [pa.array([field] * n, pa.string()), pa.array(key), pa.ListArray.from_arrays(offsets, pa.array(fids)), pa.ListArray.from_arrays(offsets, pa.array(vals)),
+                 *[pa.array(h, mask=~whole) for h in hashes], lists(light, f), pa.array(anchor), lists(~light, label)],
+                names=["field_name", "id", "fids", "vals", "h1", "h2", "light", "anchor", "own"],
+            )
+            for lo in range(0, n, 8192):
+                yield out.slice(lo, 8192)
+
+    return run
+
+
+def shared_units(vectors: DataFrame, least: float = 0.0, features: int = 3) -> DataFrame:
+    """Unit vectors without the entries that no other vector of the field holds, and what routes and identifies them.
+
+    ``vectors`` is ``(field_name, id, fids, vals)``, one row per vector, fids distinct, values finite and not zero.  ``vals``
+    become parts of the unit vector, so the products of two rows are exact cosines.  Vectors whose shared entries have a norm
+    below ``least`` reach that cosine with nobody and are left out; no other is.
+
+    ``h1, h2`` are equal for identical unit vectors and null where there can be none.  A vector is routed by the ``features``
+    entries of highest |value| / holders^(1/4): ``light`` has the fids of up to ``LIGHT`` holders, ``anchor`` the least hash of those, ``own``
+    the hashes of the others.  Holders are counted exactly; those of hot features are estimated from their share.
+    """
+    buckets = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    plain = vectors.select(F.col("field_name").cast("string").alias("field_name"), F.col("id").cast("bigint").alias("id"), F.col("fids").cast("array<bigint>").alias("fids"), F.col("vals").cast("array<double>").alias("vals"))
+    sent = plain.mapInArrow(_to_features(buckets), BLOCK).repartitionById(buckets, "bucket")
+    counted = sent.mapInArrow(_count_holders(buckets), BLOCK).repartitionById(buckets, "bucket")
+    return counted.mapInArrow(_assemble(buckets, least, features), UNIT)
+
+
+def classes_of_copies(units: DataFrame, total: int) -> DataFrame:
+    """``(field_name, rep, id, n)`` of every vector that has n > 1 copies; ``rep`` is the smallest id of its class.
 
-    ``(field_name, id, fids, vals)`` of one vector per class (its smallest id), and ``(field_name, rep, id, n)`` of every
-    vector that has copies.  Only hashes are shuffled; a class may hold any share of the rows.
+    Only hashes are shuffled; a class may hold any share of the rows.
     """
-    vectors = keep(vectors)
-    total = vectors.count()
-    keyed = vectors.select("field_name", "id", *hashed_key("fids", "vals"))
+    keyed = units.where("h1 is not null").select("field_name", "id", "h1", "h2")
     classes = keyed.groupBy("field_name", "h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keep(salted_lookup(keyed, classes, ["field_name", "h1", "h2"], "n", total, "inner").select("field_name", "rep", "id", "n"))
-    copies = members.where("id <> rep").select("field_name", "id")
-    return vectors.join(copies, ["field_name", "id"], "left_anti"), members, total
+    return keep(salted_lookup(keyed, classes, ["field_name", "h1", "h2"], "n", max(total, 1), "inner").select("field_name", "rep", "id", "n"))
 
 
-def route(vectors: DataFrame, total: int, copies: int, shard_rows: int) -> DataFrame:
-    """Send every vector to the shards of its ``copies`` most telling features.
+TASK = ["field_name", "shard", "first", "second"]
 
-    A feature tells more the larger its value and the fewer vectors hold it among their largest; one held by a single
-    vector tells nothing.  Features share shards of about ``shard_rows``.  A feature keeps its shard however many vectors
-    it sends there: a shard above twice ``shard_rows`` is divided into parts of which every two meet, so that no task grows
-    and no pair that shares a routing feature is lost; the tasks of a shard grow as the square of its parts.  Vectors
-    without a shared feature have no neighbour and are not sent.
+
+def route(units: DataFrame, members: DataFrame, total: int, shard_rows: int) -> DataFrame:
+    """Send every representative of ``units`` (kept) to the shards of its routing features.
+
+    Light features that occur beside each other in a vector take the name of the least of them, so the vectors of one neighbourhood
+    mostly go to one shard together instead of to one per feature.  Names share shards of about ``shard_rows``.  A shard above
+    twice ``shard_rows`` is divided into parts of which every two meet, so that no task grows and no pair that shares a
+    name is lost; the tasks of such a shard grow as the square of its parts.
 
     Returns ``(field_name, shard, first, second, asks, id, fids, vals)``; rows of part ``second`` ask those of ``first``.
     """
-    parts_of = lambda n: F.ceil(F.col(n) / (2 * shard_rows)).cast("int")
-    top = F.expr(f"slice(array_sort(zip_with(vals, fids, (v, f) -> struct(-abs(v) as s, f as f))), 1, {ROUTING_FEATURES})")
-    keys = vectors.select("field_name", "id", F.explode(top).alias("e")).select("field_name", "id", F.col("e.f").alias("f"), (-F.col("e.s")).alias("s"))
-    keys = keep(keys)
-    counted = with_key_counts(keys, ["field_name", "f"], total * ROUTING_FEATURES, least=2)
-    telling = counted.withColumn("s", F.col("s") * F.log1p(F.lit(float(total)) / F.col("n")))
-    order = Window.partitionBy("field_name", "id").orderBy(F.desc("s"), "f")
-    ranked = telling.withColumn("r", F.row_number().over(order)).where(F.col("r") <= copies)
-    chosen = ranked.select("field_name", "id", F.xxhash64("f").alias("k"))
-    shards = max(1, -(-copies * total // shard_rows))
-    chosen = chosen.select("field_name", "id", F.pmod("k", F.lit(shards)).cast("int").alias("shard")).distinct()
-    chosen = keep(chosen)
-    sizes = chosen.groupBy("field_name", "shard").agg(F.count(F.lit(1)).alias("n"))
-    placed = salted_lookup(chosen, sizes, ["field_name", "shard"], "n", copies * total)
-    placed = placed.withColumn("parts", parts_of("n")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    spare = members.where("id <> rep").select("field_name", "id")
+    rows = units.select("field_name", "id", "light", "anchor", "own").join(spare, ["field_name", "id"], "left_anti")
+    rows = keep(rows)
+    light = rows.select("field_name", "id", "anchor", F.explode("light").alias("f"))
+    names = light.groupBy("field_name", "f").agg(F.min("anchor").alias("name"), F.count(F.lit(1)).alias("n"))
+    named = salted_lookup(light.select("field_name", "id", "f"), names, ["field_name", "f"], "n", max(1, total)).select("field_name", "id", "name")
+    named = named.unionByName(rows.select("field_name", "id", F.explode("own").alias("name"))).distinct()
+    chosen = keep(named)
+    shards = max(1, -(-chosen.count() // shard_rows))
+    chosen = chosen.select("field_name", "id", F.pmod(F.xxhash64("field_name", "name"), F.lit(shards)).cast("int").alias("shard")).distinct()
+    sizes = chosen.groupBy("field_name", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard_rows)
+    parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / (2 * shard_rows)).cast("int")
+    placed = chosen.join(sizes, ["field_name", "shard"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meets = placed.select("field_name", "shard", "id", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     first, second = F.least("part", "other"), F.greatest("part", "other")
     meets = meets.select("field_name", "shard", "id", first.alias("first"), second.alias("second"), (F.col("part") > F.col("other")).alias("asks"))
-    return meets.join(vectors, ["field_name", "id"])
-
-
-TASK = ["field_name", "shard", "first", "second"]
+    routed = meets.join(units.select("field_name", "id", "fids", "vals"), ["field_name", "id"])
+    tasks = min(shards, 8 * int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return routed.repartition(tasks, *TASK)  # a stated number, as tasks are long for their bytes and must not be merged

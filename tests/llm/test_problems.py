@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.llm import vectors as vectors_module
 from graphloom.llm import clusters, distinct, kernels, mixing, neardup, packing, similar, spam, termfreq, tokens
-from graphloom.llm.vectors import TASK, route
+from graphloom.llm.vectors import TASK, classes_of_copies, route, shared_units
 from graphloom.operators.nodes import current_nodes
 from graphloom.operators.records import mix64
 
@@ -112,7 +113,7 @@ def test_p2_parts_are_searched_both_ways():
     ids, first = sorted(v), {i: mix64(np.array([i]), 5)[0] % 2 == 0 for i in v}
     t = pa.table({
         "field_name": ["f"] * len(ids), "first": [0] * len(ids), "second": [1] * len(ids), "asks": [not first[i] for i in ids], "id": ids,
-        "fids": pa.array([sorted(v[i]) for i in ids], pa.list_(pa.int64())), "vals": pa.array([[v[i][f] for f in sorted(v[i])] for i in ids], pa.list_(pa.float64())),
+        "fids": pa.array([sorted(v[i]) for i in ids], pa.list_(pa.int64())), "vals": pa.array([[v[i][f] / math.hypot(*v[i].values()) for f in sorted(v[i])] for i in ids], pa.list_(pa.float64())),
     })
     got = similar._shard_links(5, 0.5)(t)
     mine = set(zip(got["id_a"].to_pylist(), got["id_b"].to_pylist()))
@@ -125,7 +126,8 @@ def test_p2_parts_are_searched_both_ways():
 def test_route_keeps_the_pairs_of_a_heavy_feature(spark):
     # all share their most telling feature and differ in every other one
     v = {i: {1: 100.0, 10 + i % 15: 1.0, 30 + i // 15 % 15: 0.9} for i in range(120)}
-    rows = route(frame(spark, v), len(v), 1, 20).select(*TASK, "id").collect()
+    units = shared_units(frame(spark, v), features=1).cache()
+    rows = route(units, classes_of_copies(units, len(v)), len(v), 20).select(*TASK, "id").collect()
     tasks = {}
     for r in rows:
         tasks.setdefault(r[:4], set()).add(r.id)
@@ -133,6 +135,28 @@ def test_route_keeps_the_pairs_of_a_heavy_feature(spark):
     assert len(met) == 120 * 119 // 2 and max(map(len, tasks.values())) < 120
 
 
+@pytest.mark.parametrize("hot_rows", [8, 10**9])
+def test_shared_units_are_exact(spark, monkeypatch, hot_rows):
+    """Only entries without a second holder go, and only vectors that can't reach the threshold; hot features travel as counts."""
+    monkeypatch.setattr(vectors_module, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(vectors_module, "HOT", 2)
+    v = make_vectors(21, [(4, 1), (6, 2)], 30, size=8) | {900: {5: 2.0}, 901: {5: 2.0}, 902: {5: 4.0}, 903: {6: 1.0}}
+    holders = {}
+    for x in v.values():
+        for f in x:
+            holders[f] = holders.get(f, 0) + 1
+    got = {r.id: r for r in shared_units(frame(spark, v), 0.5).collect()}
+    for i, x in v.items():
+        norm = math.sqrt(sum(c * c for c in x.values()))
+        kept = {f: c / norm for f, c in x.items() if holders[f] > 1}
+        if sum(c * c for c in kept.values()) >= 0.25:
+            assert dict(zip(got[i].fids, got[i].vals)) == pytest.approx(kept)
+        else:
+            assert i not in got
+    assert got[900].h1 == got[901].h1 == got[902].h1 and 903 not in got
+    assert shared_units(frame(spark, {})).count() == 0
+
+
 def test_p2_fields_never_meet(spark, vectors):
     both = frame(spark, vectors, "x").unionByName(frame(spark, vectors, "y"))
     got = similar.most_similar(both, 3, 0.9).groupBy("field_name").count().collect()
@@ -146,6 +170,44 @@ def test_p1_equals_brute_force(spark, vectors):
     assert len(got) == len(set(got)) and set(got) == truth and truth
 
 
+def test_p1_equals_brute_force_above_the_group_bound(spark, vectors):
+    near = {a: {b for b in vectors if b == a or cosine(vectors[a], vectors[b]) >= 0.5} for a in vectors}
+    truth = {(a, b) for a in vectors for b in near[a] if a < b and len(near[a]) >= 5 and all(near[c] == near[a] for c in near[a])}
+    assert {(r.gid_a, r.gid_b) for r in clusters.tight_pairs(frame(spark, vectors), group=6).collect()} == truth
+
+
+def test_p1_rows_come_through_the_communities(spark, vectors, monkeypatch):
+    monkeypatch.setattr(clusters, "divide_by_modularity", lambda n, *_: np.arange(n))
+    got = {(r.gid_a, r.gid_b) for r in clusters.tight_pairs(frame(spark, vectors)).collect()}
+    assert got == set(itertools.combinations(range(2000, 2009), 2))  # only the class of nothing but copies needs no community
+
+
+def test_p1_finds_planted_clusters(spark):
+    v = make_vectors(31, [(m, 1) for m in (5, 8, 12, 20, 40, 6, 9)], 50)
+    planted, n = {}, 0
+    for c, m in enumerate((5, 8, 12, 20, 40, 6, 9)):
+        planted |= {i: c for i in range(n, n + m)}
+        n += m
+    rows = clusters.similarity_clusters(frame(spark, v)).collect()
+    assert sum(r.size for r in rows) == n
+    assert all(len({planted[i] for i in r.typical}) == 1 for r in rows)
+    whole = [r for r in rows if r.size == sum(c == planted[r.cluster] for c in planted.values())]
+    assert len(whole) >= 6
+
+
+def test_p1_array_and_join_moves_agree():
+    edges = [(a, b) for s in (0, 10) for a, b in itertools.combinations(range(s, s + 6), 2)] + [(5, 10)]
+    a, b = np.array(edges).T
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    w = np.array([1.0] * (len(edges) - 1) + [0.2])
+    label = clusters.divide_by_modularity(len(nodes), at[: len(a)], at[len(a) :], w, 2 * w.sum())
+    assert len(set(label[nodes < 6])) == 1 and len(set(label)) == 2
+    path = np.arange(63)
+    label = clusters.divide_by_modularity(64, path, path + 1, np.ones(63), 126.0)
+    volume = np.bincount(label, np.r_[1, np.full(62, 2), 1])
+    assert (label[:-1] == label[1:]).sum() * 2 / 126 - (volume**2).sum() / 126**2 > 0.7
+
+
 def test_p1_clusters_are_described(spark, vectors):
     rows = clusters.similarity_clusters(frame(spark, vectors)).collect()
     copies = next(r for r in rows if r.cluster == 2000)
