@@ -83,10 +83,13 @@ def quick_shift_parents(neighbours: DataFrame, density: DataFrame, threshold: fl
     return neighbours.select("gid").distinct().join(chosen, "gid", "left").select("gid", F.coalesce("up", "gid").alias("parent"))
 
 
-def tree_roots(parents: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """``(gid, root)`` by pointer jumping: the path halves in every round."""
+def tree_roots(parents: DataFrame) -> DataFrame:
+    """``(gid, root)`` by pointer jumping: the path halves in every round, until none is left.
+
+    Parents must not form a circle of two or more, which has no root; those of ``quick_shift_parents`` rise in density and cannot.
+    """
     state = keep(parents.select("gid", F.col("parent").alias("root")))
-    for _ in range(most_rounds):
+    while True:
         up = state.select(F.col("gid").alias("root"), F.col("root").alias("next"))
         after = keep(state.join(up, "root", "left").select("gid", F.coalesce("next", "root").alias("next"), "root"))
         moved = after.where("next <> root").limit(1).count()

@@ -8,17 +8,18 @@ from pyspark.sql import functions as F
 from graphloom.store import keep
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``(id, component)`` of every end of an edge; a component is named by its smallest id.
 
     Self-loops name a single node; null ends are ignored; an empty table gives none.  Every round aggregates minima before the
-    shuffle, shrinks paths to stars and cuts the lineage; rounds needed grow with the logarithm of the longest path.
+    shuffle, shrinks paths to stars and cuts the lineage, until nothing is left to join; rounds grow with the logarithm of the longest
+    path.  Ids may be of any type that has an order.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     state = keep(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     nodes = state.select(F.col("u").alias("id")).unionByName(state.select(F.col("v").alias("id"))).distinct()
     state = state.where("u <> v")
-    for _ in range(most_rounds):
+    while True:
         # Large star: larger neighbours move to the least id around u.
         around = state.unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -19,6 +19,7 @@ CHUNK_ROWS = 500_000
 NO_TIME = np.iinfo(np.int64).min
 
 PACKED = "id bigint, fids array<bigint>, vals array<double>"
+SEQUENCES = PACKED + ", reads array<bigint>"
 _PARTIAL = "id bigint, fids array<bigint>, vals array<double>, times array<bigint>"
 
 
@@ -33,6 +34,15 @@ def _latest(ids, fids, vals, times):
     return ids[last], fids[last], vals[at], times[at]
 
 
+def _every(ids, fids, vals, times):
+    """Rows without exact repeats, sorted by (id, fid, time, value)."""
+    order = np.lexsort((vals, times, fids, ids))
+    ids, fids, vals, times = ids[order], fids[order], vals[order], times[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (fids[1:] != fids[:-1]) | (times[1:] != times[:-1]) | (vals[1:] != vals[:-1])
+    return ids[new], fids[new], vals[new], times[new]
+
+
 def _lists(ids, columns, names):
     """One row per run of equal ids; each column becomes a list column."""
     start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
@@ -45,23 +55,26 @@ def _numbers(column: pa.ChunkedArray | pa.Array, null, kind) -> np.ndarray:
     return pc.fill_null(column, null).to_numpy(zero_copy_only=False).astype(kind, copy=False)
 
 
-def _reduce_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _reduce_scan(reduce):
     def flush(held):
         t = pa.Table.from_batches(held)
         vals = _numbers(t["val"], -np.inf, np.float64)
         vals = np.where(np.isnan(vals), -np.inf, vals)  # a null or NaN value sorts before any number of that time
-        out = _latest(_numbers(t["id"], 0, np.int64), _numbers(t["fid"], 0, np.int64), vals, _numbers(t["at"], NO_TIME, np.int64))
+        out = reduce(_numbers(t["id"], 0, np.int64), _numbers(t["fid"], 0, np.int64), vals, _numbers(t["at"], NO_TIME, np.int64))
         return _lists(out[0], out[1:], ["fids", "vals", "times"])
 
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= CHUNK_ROWS:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= CHUNK_ROWS:
+                yield flush(held)
+                held, rows = [], 0
+        if rows:
             yield flush(held)
-            held, rows = [], 0
-    if rows:
-        yield flush(held)
+
+    return run
 
 
 def unpack(table: pa.Table | pa.RecordBatch, lists: list[str], key: str = "id"):
@@ -81,6 +94,15 @@ def _reduce_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _lists(ids[live], (fids[live], vals[live]), ["fids", "vals"])
 
 
+def _plain(rows: DataFrame, key: str, fid: str, value: str, at: str) -> DataFrame:
+    return rows.select(
+        F.col(key).cast("bigint").alias("id"),
+        F.col(fid).cast("bigint").alias("fid"),
+        F.col(value).cast("double").alias("val"),
+        F.unix_micros(F.col(at).cast("timestamp")).alias("at"),
+    ).where("id is not null and fid is not null")
+
+
 def current_vectors(rows: DataFrame, key: str = "gid", fid: str = "fid", value: str = "value", at: str = "loaded_at") -> DataFrame:
     """``(id, fids, vals)``: each record's current vector with its fids ascending.
 
@@ -90,13 +112,33 @@ def current_vectors(rows: DataFrame, key: str = "gid", fid: str = "fid", value:
     * null, NaN, infinite and zero values mean that the fid is not held; a record holding no fid has no row;
     * an empty table gives an empty result; other columns are ignored whatever their names.
     """
-    plain = rows.select(
-        F.col(key).cast("bigint").alias("id"),
-        F.col(fid).cast("bigint").alias("fid"),
-        F.col(value).cast("double").alias("val"),
-        F.unix_micros(F.col(at).cast("timestamp")).alias("at"),
-    ).where("id is not null and fid is not null")
-    return plain.mapInArrow(_reduce_scan, _PARTIAL).repartition("id").mapInArrow(_reduce_record, PACKED)
+    return _plain(rows, key, fid, value, at).mapInArrow(_reduce_scan(_latest), _PARTIAL).repartition("id").mapInArrow(_reduce_record, PACKED)
+
+
+def _sequence_record(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = list(batches)
+    if not held:
+        return
+    ids, (fids, vals, times) = unpack(pa.Table.from_batches(held), ["fids", "vals", "times"])
+    ids, fids, vals, times = _every(ids, fids, vals, times)
+    last = np.ones(len(ids), bool)
+    last[:-1] = (ids[1:] != ids[:-1]) | (fids[1:] != fids[:-1])
+    live = last & np.isfinite(vals) & (vals != 0)
+    term = np.cumsum(np.r_[True, last[:-1]]) - 1 if len(ids) else np.zeros(0, np.int64)
+    read = live[last][term] & np.isfinite(vals)
+    i, f, t = ids[read], fids[read], times[read]
+    order = np.lexsort((f, t, i))
+    packed, reads = _lists(ids[live], (fids[live], vals[live]), ["fids", "vals"]), _lists(i, (f[order],), ["reads"])
+    yield pa.RecordBatch.from_arrays([*packed.columns, reads["reads"]], names=["id", "fids", "vals", "reads"])
+
+
+def current_sequences(rows: DataFrame, key: str = "gid", fid: str = "fid", value: str = "value", at: str = "loaded_at") -> DataFrame:
+    """``(id, fids, vals, reads)``: ``current_vectors`` and the record's held fids in the order in which they were loaded.
+
+    A fid stands in ``reads`` once for every different value or time it was loaded with a number; of one time, fids ascend.  Nulls, repeats, ties
+    and empty tables count as in ``current_vectors``.
+    """
+    return _plain(rows, key, fid, value, at).mapInArrow(_reduce_scan(_every), _PARTIAL).repartition("id").mapInArrow(_sequence_record, SEQUENCES)
 
 
 def bucket_counts(fids: DataFrame, column: str, bits: int) -> np.ndarray:

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 #: Bound of scaled products (fixed value).
 LIMIT = 1e9
+#: Parts over which the rows of one feature are spread when all pairs of its holders are asked for.
+SALTS = 8
 
 
 def dot_products(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """``(gid_a, gid_b, k)`` of all row and column instances that share a feature; pairs without one have product 0."""
-    a = rows.select(F.col("gid").alias("gid_a"), "fid", F.col("value").alias("x"))
-    b = columns.select(F.col("gid").alias("gid_b"), "fid", F.col("value").alias("y"))
-    return a.join(b, "fid").groupBy("gid_a", "gid_b").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
+    salt = F.pmod(F.xxhash64("gid"), F.lit(SALTS)).cast("int")  # rows of one feature are spread, its columns copied
+    a = rows.select(F.col("gid").alias("gid_a"), "fid", F.col("value").alias("x"), salt.alias("salt"))
+    b = columns.select(F.col("gid").alias("gid_b"), "fid", F.col("value").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return a.join(b, ["fid", "salt"]).groupBy("gid_a", "gid_b").agg(F.sum(F.col("x") * F.col("y")).alias("k"))
 
 
 def dense_features(dense: DataFrame) -> DataFrame:
@@ -21,19 +24,24 @@ def dense_features(dense: DataFrame) -> DataFrame:
     return dense.select("gid", F.posexplode("x").alias("fid", "value")).where("value <> 0").select("gid", F.col("fid").cast("bigint").alias("fid"), F.col("value").cast("double").alias("value"))
 
 
-def dense_dots(rows: DataFrame, columns: DataFrame, blocks: int = 16) -> DataFrame:
+def _blocks_met(rows: DataFrame, columns: DataFrame, block_rows: int) -> DataFrame:
+    """Rows and columns of dense tables, each copied to every block of the other side; blocks hold about ``block_rows``."""
+    n, m = (max(1, -(-t.count() // block_rows)) for t in (rows, columns))
+    part = lambda count: F.pmod(F.xxhash64("gid"), F.lit(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    a = rows.select(part(n).alias("i"), every(m).alias("j"), F.lit(True).alias("row"), "gid", "x")
+    return a.unionByName(columns.select(every(n).alias("i"), part(m).alias("j"), F.lit(False).alias("row"), "gid", "x"))
+
+
+def dense_dots(rows: DataFrame, columns: DataFrame, block_rows: int = 2_000) -> DataFrame:
     """``(gid_a, gid_b, k)`` of every row with every column instance of dense tables, block against block as matrix products.
 
-    The result has a line for every pair because that is what the operator gives; each task multiplies two bounded blocks.
+    The result has a line for every pair because that is what the operator gives; each task multiplies two blocks of about
+    ``block_rows``.
     """
     import numpy as np
     import pandas as pd
 
-    block = F.pmod(F.xxhash64("gid"), F.lit(blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = rows.select(block.alias("i"), other.alias("j"), F.lit(True).alias("row"), "gid", "x")
-    b = columns.select(block.alias("j"), other.alias("i"), F.lit(False).alias("row"), "gid", "x")
-
     def products(frame: pd.DataFrame) -> pd.DataFrame:
         p, q = frame[frame["row"]], frame[~frame["row"]]
         if not len(p) or not len(q):
@@ -41,7 +49,39 @@ def dense_dots(rows: DataFrame, columns: DataFrame, blocks: int = 16) -> DataFra
         k = np.stack(p["x"].to_list()).astype(float) @ np.stack(q["x"].to_list()).astype(float).T
         return pd.DataFrame({"gid_a": np.repeat(p["gid"].to_numpy(), len(q)), "gid_b": np.tile(q["gid"].to_numpy(), len(p)), "k": k.ravel()})
 
-    return a.unionByName(b).groupBy("i", "j").applyInPandas(products, "gid_a bigint, gid_b bigint, k double")
+    return _blocks_met(rows, columns, block_rows).groupBy("i", "j").applyInPandas(products, "gid_a bigint, gid_b bigint, k double")
+
+
+def dense_neighbours(rows: DataFrame, columns: DataFrame, k: int = 10, digits: int = 9, block_rows: int = 2_000) -> DataFrame:
+    """``(gid, rank, nid, k)``: the k column instances of largest product for every row, itself included, ties by id.
+
+    Products are rounded to ``digits`` first.  Only the k best of a row leave a task, so n k lines a column block are
+    shuffled and never the products of all pairs.
+    """
+    import numpy as np
+    import pandas as pd
+    from graphloom.operators.lsh import top_k
+
+    def best(frame: pd.DataFrame) -> pd.DataFrame:
+        p, q = frame[frame["row"]], frame[~frame["row"]].sort_values("gid")
+        if not len(p) or not len(q):
+            return pd.DataFrame({"gid_a": [], "gid_b": [], "k": []})
+        products = np.round(np.stack(p["x"].to_list()).astype(float) @ np.stack(q["x"].to_list()).astype(float).T, digits)
+        near = np.argsort(-products, axis=1, kind="stable")[:, :k]  # equal products stay in order of id
+        values = np.take_along_axis(products, near, 1)
+        return pd.DataFrame({"gid_a": np.repeat(p["gid"].to_numpy(), near.shape[1]), "gid_b": q["gid"].to_numpy()[near.ravel()], "k": values.ravel()})
+
+    return top_k(_blocks_met(rows, columns, block_rows).groupBy("i", "j").applyInPandas(best, "gid_a bigint, gid_b bigint, k double"), k, digits)
+
+
+def neighbour_products(neighbours: DataFrame, dense: DataFrame) -> DataFrame:
+    """``(gid_a, gid_b, k)`` of every two different instances that are neighbours of a third; at most k^2 pairs an instance."""
+    a, b = neighbours.select("gid", F.col("nid").alias("gid_a")), neighbours.select("gid", F.col("nid").alias("gid_b"))
+    pairs = a.join(b, "gid").where("gid_a < gid_b").select("gid_a", "gid_b").distinct()
+    both = pairs.join(dense.select(F.col("gid").alias("gid_a"), F.col("x").alias("xa")), "gid_a").join(dense.select(F.col("gid").alias("gid_b"), F.col("x").alias("xb")), "gid_b")
+    k = F.aggregate(F.zip_with("xa", "xb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    found = both.select("gid_a", "gid_b", k.alias("k"))
+    return found.unionByName(found.select(F.col("gid_b").alias("gid_a"), F.col("gid_a").alias("gid_b"), "k"))
 
 
 def gram_summary(gram: DataFrame, rows: DataFrame, columns: DataFrame, rr: DataFrame, cc: DataFrame) -> DataFrame:

@@ -211,10 +211,9 @@ def graph_components(spark, sf_dir):
     v, e = graph(spark, sf_dir)
     live = graph_ops.alive(v)
     inner = graph_ops.induced(e.where("src <> dst"), live)
-    wide = lambda c: (F.shiftleft(F.col("gid"), 20) + F.col(c)).alias(c)
-    found = graphs.components(inner.select(wide("src"), wide("dst")), "src", "dst")
-    low = F.lit((1 << 20) - 1)
-    return found.select(F.shiftright("id", 20).alias("gid"), F.col("id").bitwiseAND(low).cast("int").alias("vid"), F.col("component").bitwiseAND(low).cast("int").alias("component"))
+    node = lambda c: F.struct("gid", F.col(c).cast("bigint").alias("vid")).alias(c)
+    found = graphs.components(inner.select(node("src"), node("dst")), "src", "dst")
+    return found.select(F.col("id.gid").alias("gid"), F.col("id.vid").cast("int").alias("vid"), F.col("component.vid").cast("int").alias("component"))
 
 
 @query(f"""WITH {O.GRAPH}{O.distances(2)}, kl AS (SELECT label, {O.h_text('label')} AS code FROM (SELECT DISTINCT label FROM gv)), dg AS (SELECT gid, src AS vid, count(*) AS n FROM ge GROUP BY ALL),
@@ -255,7 +254,8 @@ def _gram(spark, sf_dir):
 
 
 def _neighbours(spark, sf_dir):
-    return keep(lsh.top_k(_gram(spark, sf_dir)))
+    e = dense(spark, sf_dir).select("gid", "x")
+    return keep(vectors_ops.dense_neighbours(e, e))
 
 
 @query(f"WITH {O.EMBEDDED} SELECT gid_a, gid_b, round(k, 6) AS k FROM gram")
@@ -307,8 +307,8 @@ def local_density(spark, sf_dir):
 rk AS (SELECT gid, u, d, count(*) OVER (PARTITION BY gid, u) AS n, row_number() OVER (PARTITION BY gid, u ORDER BY d) AS i FROM pr WHERE d <> 0), md AS (SELECT gid, u, max(d) FILTER (i = least(ceil(n * 0.5) + 1, n)) AS m FROM rk GROUP BY ALL),
 vo AS (SELECT nb.gid, exp(sum(ln(abs(coalesce(m, 1))))) AS v FROM nb LEFT JOIN md ON md.gid = nb.gid AND md.u = nb.nid GROUP BY nb.gid) SELECT gid, round((1 / v) / sum(1 / v) OVER (), 6) AS p FROM vo""")
 def voronoi_density(spark, sf_dir):
-    g = keep(_gram(spark, sf_dir))
-    return density.voronoi_density(keep(lsh.top_k(g)), g).select("gid", F.round("p", 6).alias("p"))
+    nb = _neighbours(spark, sf_dir)
+    return density.voronoi_density(nb, vectors_ops.neighbour_products(nb, dense(spark, sf_dir))).select("gid", F.round("p", 6).alias("p"))
 
 
 def _dense_state(spark, sf_dir):
@@ -353,7 +353,7 @@ def label_spreading(spark, sf_dir):
 # --- signatures -------------------------------------------------------------------------------------------------------
 _SIGN = f"WITH {O.CURRENT}, kx AS (" + O.int_hash("fid", "l", "SELECT gid, fid, unnest(range(1, 11)) AS l FROM fv", "gid, l", "key") + "), sg AS (SELECT gid, (least(key // 53687091, 39) + (l - 1) * 40)::INT AS slot, min(key) AS key FROM kx GROUP BY ALL)"
 _INDEX = _SIGN + ", ix AS (SELECT gid, slot, key FROM sg WHERE key <> 0 QUALIFY count(*) OVER (PARTITION BY slot, key) < 1000)"
-_SIZES = _INDEX + ", zs AS (SELECT sg.gid, sg.slot, coalesce(n, 0) AS size FROM sg LEFT JOIN (SELECT slot, key, count(*) AS n FROM ix GROUP BY ALL) c USING (slot, key))"
+_SIZES = _SIGN.replace("sg AS (", "sg AS MATERIALIZED (") + ", cn AS (SELECT gid, slot, key, count(*) OVER (PARTITION BY slot, key) AS n FROM sg), zs AS (SELECT gid, slot, CASE WHEN key <> 0 AND n < 1000 THEN n ELSE 0 END AS size FROM cn)"
 
 
 def _signed(spark, sf_dir):
