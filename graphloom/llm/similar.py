@@ -17,7 +17,7 @@ from graphloom.llm.vectors import TASK, classes_of_copies, route, shared_units
 from graphloom.operators.records import mix64
 from graphloom.store import keep
 
-SKETCH, DEGREE, EF, HINTS = 64, 6, 12, 8
+SKETCH, DEGREE, EF, HINTS = 64, 6, 16, 8
 #: Neighbours that a neighbour proposes, rows listing a row that count as its neighbours, and rounds.
 REFINE = 8, 6, 4
 LINKS = "field_name string, id_a bigint, id_b bigint, cosine double"
@@ -86,7 +86,7 @@ def _schema() -> pa.Schema:
     return pa.schema([("field_name", pa.string()), ("id_a", pa.int64()), ("id_b", pa.int64()), ("cosine", pa.float64())])
 
 
-def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.0, features: int = 3, shard_rows: int = 4_000) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, least: float = 0.0, features: int = 4, shard_rows: int = 4_000) -> DataFrame:
     """``(field_name, id_a, id_b, cosine, rank)``: up to k other vectors of the field for every vector.
 
     ``vectors`` is ``(field_name, id, fids, vals)``, one row per vector, fids distinct, values finite and not zero.
