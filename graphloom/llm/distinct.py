@@ -52,12 +52,16 @@ def _entries(window: int):
             lengths = batch["fids"].value_lengths().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), lengths)
             fid, val = batch["fids"].flatten().to_numpy(), batch["vals"].flatten().to_numpy()
-            order = np.lexsort((fid, -val, row))  # a record reads from its largest value down
+            reads, place = batch["reads"].flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), batch["reads"].value_lengths().to_numpy())
+            order = np.lexsort((fid, row))
             fid, val = fid[order], val[order]
             total = np.bincount(row, val, batch.num_rows)[row] if len(row) else val
             with np.errstate(divide="ignore", invalid="ignore"):
                 share = np.round(val / total, 6)
-            degree = window_degrees(row, fid, window).astype(np.int32)
+            at = np.lexsort((reads, place))  # a term has one degree, whatever the number of its places
+            first = np.ones(len(at), bool)
+            first[1:] = (place[at][1:] != place[at][:-1]) | (reads[at][1:] != reads[at][:-1])
+            degree = window_degrees(place, reads, window)[at[first]].astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [batch["field_name"].take(pa.array(row)), batch["id"].take(pa.array(row)), pa.array(fid), pa.array(val), pa.array(share, mask=total == 0), pa.array(degree)],
                 names=["field_name", "record_id", "fid", "value", "share", "degree"],
@@ -67,14 +71,18 @@ def _entries(window: int):
 
 
 def distinctive_terms(vectors: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``(field_name, record_id, fid, value, share, degree, held_by, score)`` of every entry of ``(field_name, id, fids, vals)``.
+    """``(field_name, record_id, fid, value, share, degree, held_by, score)`` of every entry of ``(field_name, id, fids, vals, reads)``.
 
-    * ``degree``: distinct neighbours in the record's graph of words, read from the largest value down, ties by fid;
+    * ``reads``: the record's fids in the order in which they were recorded, each at least once; without that column, ``fids``;
+    * ``degree``: distinct neighbours in the record's graph of words, whose edges join fids less than ``window`` places apart in ``reads``;
+      a fid recorded again and again beside others has more neighbours than one recorded once, and one at the ends fewer;
     * ``held_by``: records of the field that hold the fid; ``score`` = degree x ln(records of the field / held_by);
     * ``share``: value as part of the sum of the record's values, to 6 decimals; null where that sum is 0;
     * an empty table gives none; a fid held by every record scores 0.
     """
-    vectors = keep(vectors)
+    if "reads" not in vectors.columns:
+        vectors = vectors.withColumn("reads", F.col("fids"))
+    vectors = keep(vectors.select("field_name", "id", "fids", "vals", "reads"))
     sizes = vectors.groupBy("field_name").agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("fids")).alias("entries")).collect()  # a row per field
     if not sizes:
         return vectors.sparkSession.createDataFrame([], ENTRIES + ", held_by bigint, score double")

@@ -48,15 +48,16 @@ def solve_mean(level: np.ndarray, tokens: np.ndarray, cap: int, target: float) -
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, total_tokens: int | None = None) -> DataFrame:
-    """``(shuffle_key, doc_id, source, copy, n_tokens, text)``: the mixture in its global random order.
+    """``(shuffle_key, doc_id, source, copy, n_tokens)``: the mixture in its global random order; texts are joined by ``doc_id``.
 
-    ``documents`` has ``doc_id, source, n_tokens, text``; ``targets`` is a short table ``(source, target_share, max_repeats)``.  Every document
+    ``documents`` has ``doc_id, source, n_tokens``; ``targets`` is a short table ``(source, target_share, max_repeats)``.  Every document
     of a target source gets a hash-seeded uniform number and as many copies as the inverted Poisson distribution of the source's mean
     gives, at most ``max_repeats``.  The mean meets the target in the tokens really made.
 
-    * the size is ``total_tokens``, or by default the largest at which no source needs more than ``max_repeats`` of each record;
+    * the size is ``total_tokens``, or by default that of all documents of the target sources; a source that can't reach its part of
+      that with ``max_repeats`` of every record stays at its cap, and ``share_report`` gives the shares then reached;
     * shares are taken over the target sources that have tokens; others cannot contribute and are reported with 0;
-    * documents of other or no sources, and of no tokens, are not used; if a larger total is asked for, sources stay at their cap;
+    * documents of other or no sources, and of no tokens, are not used;
     * targets with a null or non-positive share or cap take nothing; of repeated targets of one source the largest share holds.
     """
     spark = documents.sparkSession
@@ -64,25 +65,36 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 17, total_tokens:
     for name, share, cap in targets.select(source_key("source"), "target_share", "max_repeats").collect():
         if name is not None and share and share > 0 and cap and cap > 0 and share > goals.get(name, (0, 0))[0]:
             goals[name] = (float(share), int(cap))
-    schema = "shuffle_key bigint, doc_id bigint, source string, copy int, n_tokens bigint, text string"
+    schema = "shuffle_key bigint, doc_id bigint, source string, copy int, n_tokens bigint"
     if not goals:
         return spark.createDataFrame([], schema)
     level = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(LEVELS)).cast("int")
-    own = documents.select("doc_id", source_key("source").alias("source"), "n_tokens", "text", level.alias("level")).where(F.col("source").isin(sorted(goals)) & (F.col("n_tokens") > 0))
+    own = keep(documents.select("doc_id", source_key("source").alias("source"), "n_tokens", level.alias("level")).where(F.col("source").isin(sorted(goals)) & (F.col("n_tokens") > 0)))
     levels = own.groupBy("source", "level").agg(F.sum("n_tokens").alias("tokens")).toPandas()  # at most LEVELS lines a target source
     present = {s: rows for s, rows in levels.groupby("source")}
     if not present:
         return spark.createDataFrame([], schema)
     whole = sum(goals[s][0] for s in present)
-    size = min(rows.tokens.sum() * goals[s][1] / (goals[s][0] / whole) for s, rows in present.items())
-    size = float(total_tokens) if total_tokens is not None else size
+    size = float(total_tokens if total_tokens is not None else levels.tokens.sum())
     steps = {s: solve_mean(rows.level.to_numpy(), rows.tokens.to_numpy(), goals[s][1], size * goals[s][0] / whole) for s, rows in present.items()}
     table = F.create_map(*[x for s, p in sorted(steps.items()) for x in (F.lit(s), F.array(*[F.lit(float(v)) for v in p]))])
     u = (F.col("level") + 0.5) / LEVELS
     copies = F.size(F.filter(table[F.col("source")], lambda p: u > p))
     each = own.withColumn("copies", copies).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.xxhash64("doc_id", "copy", F.lit(seed)).alias("shuffle_key")
-    return each.select(key, "doc_id", "source", "copy", "n_tokens", "text").orderBy("shuffle_key", "doc_id", "copy")
+    return each.select(key, "doc_id", "source", "copy", "n_tokens").orderBy("shuffle_key", "doc_id", "copy")
+
+
+def mixture_checks(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(source, records_over_cap, copies_out_of_line, strangers)`` of every target source; all 0 in a sound mixture.
+
+    Records used more than ``max_repeats`` times, records whose copies aren't numbered 1, 2, ..., and rows of sources without a target.
+    """
+    goal = targets.select(source_key("source").alias("source"), "max_repeats")
+    used = keep(mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("copy").alias("last"), F.countDistinct("copy").alias("kinds")))
+    per = used.join(F.broadcast(goal), "source").groupBy("source").agg(F.sum((F.col("n") > F.col("max_repeats")).cast("bigint")).alias("over"), F.sum(((F.col("n") != F.col("last")) | (F.col("n") != F.col("kinds"))).cast("bigint")).alias("odd"))
+    strange = used.join(F.broadcast(goal), "source", "left_anti").agg(F.count(F.lit(1)).alias("strangers"))
+    return goal.select("source").distinct().join(per, "source", "left").join(strange, F.lit(True)).select("source", F.coalesce("over", F.lit(0)).alias("records_over_cap"), F.coalesce("odd", F.lit(0)).alias("copies_out_of_line"), "strangers")
 
 
 def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Problem 3: records that hold nearly the same terms, by a blocked product of the record-by-term incidence matrix.
+"""Problem 3: records that hold nearly the same terms, by a blocked sparse product of the record-by-term incidence matrix.
 
-The product is formed only over the terms that can decide: with terms from rare to frequent, two sets above the threshold share one among
-the first few of both.  A term held there by many records is a block too large to multiply; it is divided by the next shared
-term, as often as needed, which loses no pair.  Pairs whose sizes or positions rule the threshold out are discarded as
-they arise; the overlap of the others is then counted over all their terms.
+With terms from rare to frequent, two sets above the threshold share one among the first few of both, so the product begins with those
+entries.  A task holds the postings of a slice of terms and multiplies that slice with its transpose: it accumulates overlap counts by pair and
+discards pairs that their sizes, or the places of the shared term, rule out.  Counts of all slices are added, pairs are discarded again by
+what their overlap could still become, and the product is completed for those that remain.  A term held by too many records is divided by
+the next shared term, as often as needed and as long as every pair above the threshold shares so many, which loses no pair.
 """
 
 from __future__ import annotations
@@ -24,6 +25,9 @@ COUNT_BITS = 22
 #: are likelier pairs, so every further term allows a block GROWTH times as large.
 BLOCK_ROWS, GROWTH = 64, 4
 LONGEST_KEY = 6
+#: Postings of a task, and records of one term that meet those of another part of it in one task.
+SLICE_ROWS, PART_ROWS = 100_000, 2_048
+_PRODUCT = "field_name string, id_a bigint, id_b bigint, c bigint, la int, lb int, na int, nb int, t double, divided boolean"
 
 
 def _rare_first(counts):
@@ -65,23 +69,29 @@ def near_duplicates(sets: DataFrame, least_size: int = 8) -> tuple[DataFrame, Da
 
     n = F.size("toks")
     prefix = (n - F.ceil(F.col("t") * n - 1e-9) + 1).cast("int")
-    first = ordered.select("field_name", "id", n.alias("n"), "t", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "tok"))
-    keys = first.select("field_name", "id", "n", "t", "pos", F.col("tok").alias("key"))
-    pairs = None
-    for length in range(1, LONGEST_KEY + 1):
+    shared = F.ceil(F.col("t") / (1 + F.col("t")) * (n + F.ceil(F.col("t") * n - 1e-9)) - 1e-6)  # terms that a pair of this record shares at least
+    longest = max(1, min(LONGEST_KEY, ordered.agg(F.min(shared)).first()[0] or 1))
+    keys = ordered.select("field_name", "id", n.alias("n"), "t", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "key"))
+    postings = None
+    for length in range(1, longest + 1):
         counted = with_key_counts(keys, ["field_name", "key"], max(1, total * 5), "block", least=2)
-        last = length == LONGEST_KEY
+        last = length == longest
         counted = keep(counted) if not last else counted
         most = BLOCK_ROWS * GROWTH ** (length - 1)
-        part = _pairs_of(counted if last else counted.where(F.col("block") <= most), length)
-        pairs = part if pairs is None else pairs.unionByName(part)
+        part = (counted if last else counted.where(F.col("block") <= most)).select("field_name", "key", "id", "n", "pos", "t", "block", F.lit(length).alias("length"))
+        postings = part if postings is None else postings.unionByName(part)
         large = counted.where(F.col("block") > most)
         if last or large.limit(1).count() == 0:
             break
         more = F.slice("toks", F.col("pos") + 2, F.greatest(F.lit(0), prefix + length - F.col("pos") - 1))
         longer = large.drop("t", "n").join(ordered, ["field_name", "id"]).select("field_name", "id", n.alias("n"), "t", "pos", "key", F.posexplode(more).alias("step", "tok"))
         keys = longer.select("field_name", "id", "n", "t", (F.col("pos") + 1 + F.col("step")).alias("pos"), F.xxhash64("key", "tok").alias("key"))
-    pairs = pairs.distinct()
+    counted = _product(postings, max(1, total * 5 // SLICE_ROWS)).groupBy("field_name", "id_a", "id_b").agg(
+        F.sum("c").alias("c"), F.max("la").alias("la"), F.max("lb").alias("lb"), F.first("na").alias("na"), F.first("nb").alias("nb"), F.first("t").alias("t"), F.bool_or("divided").alias("divided")
+    )
+    need = F.ceil(F.col("t") / (1 + F.col("t")) * (F.col("na") + F.col("nb")) - 1e-6)
+    possible = F.col("c") + F.least(F.col("na") - F.col("la"), F.col("nb") - F.col("lb")) - 1  # after the last shared place either set may hold only shared terms
+    pairs = counted.where(F.col("divided") | (possible >= need)).select("field_name", "id_a", "id_b")
     a = ordered.select("field_name", F.col("id").alias("id_a"), F.col("toks").alias("ta"), "t")
     b = ordered.select("field_name", F.col("id").alias("id_b"), F.col("toks").alias("tb"))
     both = pairs.join(a, ["field_name", "id_a"]).join(b, ["field_name", "id_b"])
@@ -91,14 +101,53 @@ def near_duplicates(sets: DataFrame, least_size: int = 8) -> tuple[DataFrame, Da
     return found, members
 
 
-def _pairs_of(keys: DataFrame, shared: int) -> DataFrame:
-    """Pairs of records in one block whose sizes, and positions of the shared term, allow the threshold."""
-    a = keys.select("field_name", "key", F.col("id").alias("id_a"), F.col("n").alias("na"), F.col("pos").alias("pa"), "t")
-    b = keys.select("field_name", "key", F.col("id").alias("id_b"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
-    need = F.ceil(F.col("t") / (1 + F.col("t")) * (F.col("na") + F.col("nb")) - 1e-6)
-    reach = F.lit(shared) + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
-    fits = F.least("na", "nb") >= F.col("t") * F.greatest("na", "nb") - 1e-6
-    return a.join(b, ["field_name", "key"]).where((F.col("id_a") < F.col("id_b")) & fits & (reach >= need)).select("field_name", "id_a", "id_b")
+def _product(postings: DataFrame, slices: int) -> DataFrame:
+    """Overlap counts of the pairs that a slice of terms gives; a term with many records is multiplied part against part."""
+    parts = F.ceil(F.col("block") / PART_ROWS).cast("int")
+    placed = postings.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    slice_ = F.when(F.col("parts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), F.lit(slices)))
+    met = met.select("field_name", "key", "id", "n", "pos", "t", "length", "part", slice_.alias("slice"), F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    return met.groupBy("slice", "x", "y").applyInArrow(_slice_product, _PRODUCT)
+
+
+def _slice_product(t: pa.Table) -> pa.Table:
+    names = t["field_name"].combine_chunks().dictionary_encode()
+    field, (key, id_, n, pos, share, length, part) = names.indices.to_numpy(), (t[c].to_numpy() for c in ("key", "id", "n", "pos", "t", "length", "part"))
+    order = np.lexsort((id_, key, length, field))
+    field, key, id_, n, pos, share, length, part = (c[order] for c in (field, key, id_, n.astype(np.int64), pos.astype(np.int64), share, length, part))
+    starts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (field[1:] != field[:-1]) | (length[1:] != length[:-1])])
+    sizes = np.diff(np.r_[starts, len(key)])
+    across = t["x"][0].as_py() != t["y"][0].as_py()
+    lefts, rights = [], []
+    for m in np.unique(sizes):
+        if m < 2:
+            continue
+        i, j = np.triu_indices(m, 1)
+        step = max(1, 1_000_000 // len(i))
+        blocks = starts[sizes == m]
+        for lo in range(0, len(blocks), step):
+            at = blocks[lo : lo + step, None]
+            a, b = (at + i).ravel(), (at + j).ravel()
+            need = np.ceil(share[a] / (1 + share[a]) * (n[a] + n[b]) - 1e-6)
+            ok = (np.minimum(n[a], n[b]) >= share[a] * np.maximum(n[a], n[b]) - 1e-6) & (length[a] + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= need)
+            ok &= id_[a] != id_[b]
+            if across:
+                ok &= part[a] != part[b]
+            lefts.append(a[ok])
+            rights.append(b[ok])
+    none = np.zeros(0, np.int64)
+    a, b = np.concatenate([none, *lefts]), np.concatenate([none, *rights])
+    order = np.lexsort((id_[b], id_[a], field[a]))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (id_[a][1:] != id_[a][:-1]) | (id_[b][1:] != id_[b][:-1]) | (field[a][1:] != field[a][:-1])
+    first = np.flatnonzero(new)
+    plain = (length[a] == 1).astype(np.int64)
+    gather = lambda f, v: f.reduceat(v, first) if len(first) else v
+    p, q = a[first], b[first]
+    columns = [names.dictionary.take(pa.array(field[p])).cast(pa.string()), id_[p], id_[q], gather(np.add, plain), gather(np.maximum, pos[a]).astype(np.int32), gather(np.maximum, pos[b]).astype(np.int32), n[p].astype(np.int32), n[q].astype(np.int32), share[p], gather(np.minimum, plain) == 0]
+    return pa.table([pa.array(c) for c in columns], ["field_name", "id_a", "id_b", "c", "la", "lb", "na", "nb", "t", "divided"])
 
 
 def all_pairs(found: DataFrame, members: DataFrame) -> DataFrame:

@@ -210,3 +210,21 @@ def fill_report(packed: DataFrame, containers: DataFrame) -> DataFrame:
     used = packed.groupBy("container_id").agg((F.max("container_no") + 1).alias("containers"), F.sum("tokens").alias("tokens"))
     unused = F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6)
     return used.join(F.broadcast(containers.select("container_id", "capacity").distinct()), "container_id").select("container_id", "capacity", "containers", "tokens", unused.alias("unused"))
+
+
+def packing_checks(packed: DataFrame, sizes: DataFrame, containers: DataFrame) -> DataFrame:
+    """``(container_id, documents, overfull, wrong_pieces, needlessly_divided)`` of every container kind.
+
+    Documents placed; containers above their capacity; documents whose pieces don't cover each token once; and documents that fit a
+    container but were divided.  The last three are 0 in a sound packing.
+    """
+    kinds = F.broadcast(containers.where("capacity > 0 and container_id is not null").select("container_id", F.col("capacity").cast("bigint").alias("capacity")).distinct())
+    boxes = packed.groupBy("container_id", "container_no").agg(F.sum("tokens").alias("t")).join(kinds, "container_id")
+    over = boxes.groupBy("container_id").agg(F.sum((F.col("t") > F.col("capacity")).cast("bigint")).alias("overfull"))
+    docs = packed.groupBy("container_id", "doc_id").agg(F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("t"), F.max(F.col("first_token") + F.col("tokens")).alias("end"), F.countDistinct("first_token").alias("starts"))
+    docs = docs.join(sizes.select("doc_id", "n_tokens"), "doc_id").join(kinds, "container_id")
+    wrong = (F.col("t") != F.col("n_tokens")) | (F.col("end") != F.col("n_tokens")) | (F.col("starts") != F.col("pieces"))
+    divided = (F.col("pieces") > 1) & (F.col("n_tokens") <= F.col("capacity"))
+    per = docs.groupBy("container_id").agg(F.count(F.lit(1)).alias("documents"), F.sum(wrong.cast("bigint")).alias("wrong_pieces"), F.sum(divided.cast("bigint")).alias("needlessly_divided"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    return kinds.join(per, "container_id", "left").join(over, "container_id", "left").select("container_id", *[zero(c) for c in ("documents", "overfull", "wrong_pieces", "needlessly_divided")])

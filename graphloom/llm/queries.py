@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import clusters, distinct, mixing, neardup, packing, similar, spam, termfreq
 from graphloom.llm.tokens import token_count
-from graphloom.llm.vectors import DISCRETE, instance_vectors, node_vectors, table
+from graphloom.llm.vectors import DISCRETE, instance_sequences, instance_vectors, node_sequences, node_vectors, table
 from graphloom.operators.nodes import current_nodes
 from graphloom.store import keep
 
@@ -54,13 +54,17 @@ def p3_links(spark, sf_dir):
     return own.join(links.withColumnRenamed("id", "rep"), ["field_name", "rep"], "left").select("field_name", "id", F.col("rep").alias("class_id"), F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return instance_sequences(spark, sf_dir).unionByName(node_sequences(spark, sf_dir))
+
+
 def p4_found(spark, sf_dir):
-    scored = distinct.distinctive_terms(_fields(spark, sf_dir))
+    scored = distinct.distinctive_terms(_sequences(spark, sf_dir))
     return scored.where("held_by between 2 and 20 and share >= 0.1").select("field_name", "record_id", "fid")
 
 
 def p4_scores(spark, sf_dir):
-    return distinct.distinctive_terms(_fields(spark, sf_dir))
+    return distinct.distinctive_terms(_sequences(spark, sf_dir))
 
 
 def p5_frequencies(spark, sf_dir):
@@ -85,14 +89,24 @@ def p6_fill(spark, sf_dir):
     return packing.fill_report(p6_pack(spark, sf_dir), table(spark, sf_dir, "containers"))
 
 
+def p6_checks(spark, sf_dir):
+    """Per container: documents placed, and whatever breaks a rule: overfull containers, documents in wrong pieces or needlessly divided."""
+    boxes = table(spark, sf_dir, "containers")
+    return packing.packing_checks(keep(p6_pack(spark, sf_dir)), keep(_sized(spark, sf_dir)), boxes)
+
+
 def p7_mix(spark, sf_dir):
-    return mixing.mix(keep(_sized(spark, sf_dir, "source", "text")), table(spark, sf_dir, "mix_targets"))
+    return mixing.mix(_sized(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))
 
 
 def p7_shares(spark, sf_dir):
     return mixing.share_report(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p7_checks(spark, sf_dir):
+    return mixing.mixture_checks(p7_mix(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark, sf_dir):
     return spam.stuffed_pages(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -102,5 +116,5 @@ def p8_pages(spark, sf_dir):
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p3_found, p3_links, p4_found, p4_scores, p5_found, p5_frequencies, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_pages)
+    f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_similar, p3_found, p3_links, p4_found, p4_scores, p5_found, p5_frequencies, p6_pack, p6_fill, p6_checks, p7_mix, p7_shares, p7_checks, p8_found, p8_pages)
 }

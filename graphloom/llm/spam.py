@@ -2,8 +2,8 @@
 
 A line is reduced to a shape: whether it is code, how many words it has, and which parts of them are capitalised, stand at separators,
 are links, or belong to sentences.  A word belongs to a sentence if function words stand near it in its line; keyword
-and product lists have almost none.  A page is flagged when more than half of its words stand in non-sentence parts and
-few shapes hold most of those.
+and product lists have almost none.  Lines are then only counted by shape: a page is flagged when more than half of its words stand in lines of
+non-sentence shapes and few shapes hold most of those.  Flagged pages are grouped by their main shape over the whole collection.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.store import keep
+
 #: Function words by language (fixed values).
 FUNCTION_WORDS = {
     "en": "a an the and or but if of to in on at by for from with as is are was were be been it its this that these those i you he she we they my your our their me them not no do does did has have had can could would should will may more than then so because when which what who how there any all each every only also into after before once up out over".split(),
@@ -43,8 +45,12 @@ _CODE_WORD = re.compile(r"[_{}=;\\$]|\w\(|->|::|^--")
 _SEPARATOR = re.compile(r"^[\W_]+$")
 _EDGE = re.compile(r"^[^\w@+#]+|[^\w@+]+$")
 _SPLIT = re.compile(r"[\s|•·]+|[,;](?=\s|$)")
-#: Reach in words within which function words make a sentence part, how many are needed, and the words below which a text can't be judged.
-NEAR, NEEDED, FEWEST = 6, 2, 8
+#: Reach in words within which function words make a sentence part, and how many are needed.
+NEAR, NEEDED = 6, 2
+#: Words and links of a text of one line that is a remark and no page: a few words, or a short line with a sentence's end.
+REMARK, SHORT, ONE_LINK = 3, 7, 1
+#: Quarters of a line's words outside sentences from which its shape is no sentence shape.
+LOOSE = 3
 _LINK_WORD = "\x01"
 
 SHAPES = "doc_id bigint, shape string, lines bigint, words bigint, loose bigint"
@@ -103,6 +109,15 @@ def text_shapes(text: str) -> dict[str, list[int]]:
     out: dict[str, list[int]] = {}
     weak: list[tuple[str, int]] = []
     fenced, lines = False, 0
+
+    def move(shape: str, to: str, words: int, loose: int) -> None:
+        """A line of ``words`` counts under another shape."""
+        held, there = out[shape], out.setdefault(to, [0, 0, 0])
+        held[0], held[1] = held[0] - 1, held[1] - words
+        there[0], there[1], there[2] = there[0] + 1, there[1] + words, there[2] + loose
+        if not held[0]:
+            del out[shape]
+
     for line in text.splitlines():
         if _FENCE.match(line):
             fenced = not fenced
@@ -122,7 +137,11 @@ def text_shapes(text: str) -> dict[str, list[int]]:
             held[2] += loose
     if len(weak) > 3 and 2 * len(weak) > lines:  # many short lines with one function word each are a list as well
         for shape, words in weak:
-            out[shape][2] += words
+            move(shape, shape.replace("loose 0", "loose 4"), words, words)
+    if lines == 1:
+        (shape, (_, words, _)), links = next(iter(out.items())), text.count(_LINK_WORD) + len(_LINK.findall(text))
+        if links <= ONE_LINK and (words <= REMARK or words <= SHORT and text.rstrip(" \n\"')»").endswith((".", "?", "!"))):
+            move(shape, "remark", words, 0)
     return out
 
 
@@ -139,20 +158,24 @@ def line_shapes(documents: DataFrame) -> DataFrame:
 
 
 def stuffed_pages(documents: DataFrame, share: float = 0.5, few: int = 4) -> DataFrame:
-    """``(doc_id, words, loose_share, shapes, main_shape, link_list)`` of the pages that are lists and not sentences.
+    """``(doc_id, words, loose_share, shapes, main_shape, link_list, pages_alike)`` of the pages that are lists and not sentences.
 
-    A page is flagged when more than ``share`` of its words are outside sentences and its ``few`` commonest non-sentence shapes
-    hold at least half of those.  Null, empty and wordless texts, and texts under 8 words, are never flagged; of rows with one
-    ``doc_id`` the words are added; an empty table gives none.
+    A page is flagged when more than ``share`` of its words are in lines of non-sentence shapes and its ``few`` commonest of those
+    hold at least half of them.  ``pages_alike`` counts the flagged pages of the same main shape.  Null, empty and wordless texts are never flagged, nor is
+    a remark of one short line; of rows with one ``doc_id`` the words are added; an empty table gives none.
     """
     shapes = line_shapes(documents)
     page = Window.partitionBy("doc_id")
-    order = page.orderBy(F.desc("loose"), "shape")
-    shapes = shapes.groupBy("doc_id", "shape").agg(F.sum("words").alias("words"), F.sum("loose").alias("loose"))
+    order = page.orderBy(F.desc("listed"), "shape")
+    part = F.coalesce(F.try_to_number(F.regexp_extract("shape", r"loose (\d)", 1), F.lit("9")).cast("int"), F.lit(0))
+    shapes = shapes.groupBy("doc_id", "shape").agg(F.sum("words").alias("words")).withColumn("listed", F.when(part >= LOOSE, F.col("words")).otherwise(0))
     ranked = shapes.withColumn("r", F.row_number().over(order))
     totals = ranked.groupBy("doc_id").agg(
-        F.sum("words").alias("words"), F.sum("loose").alias("loose"), F.sum(F.when(F.col("r") <= few, F.col("loose")).otherwise(0)).alias("main"),
-        F.sum((F.col("loose") > 0).cast("int")).alias("shapes"), F.min_by("shape", "r").alias("main_shape"),
+        F.sum("words").alias("words"), F.sum("listed").alias("listed"), F.sum(F.when(F.col("r") <= few, F.col("listed")).otherwise(0)).alias("main"),
+        F.sum((F.col("listed") > 0).cast("int")).alias("shapes"), F.min_by("shape", "r").alias("main_shape"),
+    )
+    flagged = keep(totals.where((F.col("listed") > F.lit(share) * F.col("words")) & (F.col("main") * 2 >= F.col("listed"))))
+    alike = flagged.groupBy("main_shape").agg(F.count(F.lit(1)).alias("pages_alike"))  # shapes are fewer than 2,000 whatever the collection
+    return flagged.join(F.broadcast(alike), "main_shape").select(
+        "doc_id", "words", F.round(F.col("listed") / F.col("words"), 6).alias("loose_share"), "shapes", "main_shape", (~F.col("main_shape").endswith("links 0")).alias("link_list"), "pages_alike"
     )
-    flagged = totals.where((F.col("words") >= FEWEST) & (F.col("loose") > F.lit(share) * F.col("words")) & (F.col("main") * 2 >= F.col("loose")))
-    return flagged.select("doc_id", "words", F.round(F.col("loose") / F.col("words"), 6).alias("loose_share"), "shapes", "main_shape", (~F.col("main_shape").endswith("links 0")).alias("link_list"))

@@ -43,4 +43,8 @@ r AS (SELECT field_name, attr, term, records, occurrences, CASE WHEN records <=
 P5_ALL = _P5 + " SELECT * FROM r"
 P5 = _P5 + " SELECT field_name, attr, term, mark FROM r WHERE mark <> 'useful'"
 
-ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_frequencies": P5_ALL}
+P6_CHECKS = """SELECT container_id, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '')::BIGINT AS documents, 0::BIGINT AS overfull, 0::BIGINT AS wrong_pieces, 0::BIGINT AS needlessly_divided
+FROM (SELECT DISTINCT container_id FROM containers WHERE capacity > 0)"""
+P7_CHECKS = """SELECT DISTINCT regexp_replace(lower(trim(source)), '[\\s_\\-]+', '_', 'g') AS source, 0::BIGINT AS records_over_cap, 0::BIGINT AS copies_out_of_line, 0::BIGINT AS strangers FROM mix_targets"""
+
+ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_frequencies": P5_ALL, "p6_checks": P6_CHECKS, "p7_checks": P7_CHECKS}

@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.operators.nodes import current_nodes, profile_vectors
-from graphloom.operators.records import current_vectors, mix64
+from graphloom.operators.nodes import current_nodes, profile_sequences, profile_vectors
+from graphloom.operators.records import current_sequences, current_vectors, mix64
 from graphloom.operators.skew import salted_lookup
 from graphloom.store import keep
 
@@ -42,6 +42,15 @@ def node_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_vectors(nodes).select(F.lit(PROFILES).alias("field_name"), "id", "fids", "vals")
 
 
+def instance_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return current_sequences(table(spark, sf_dir, "features")).select(F.lit(INSTANCES).alias("field_name"), "id", "fids", "vals", "reads")
+
+
+def node_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = current_nodes(table(spark, sf_dir, "nodes"), ("m_svector",))
+    return profile_sequences(nodes).select(F.lit(PROFILES).alias("field_name"), "id", "fids", "vals", "reads")
+
+
 def _blocks(field: str, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
     """One row per bucket with the entries that go there."""
     order = np.argsort(bucket, kind="stable")

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from graphloom.llm import vectors as vectors_module
 from graphloom.llm import clusters, distinct, kernels, mixing, neardup, packing, similar, spam, termfreq, tokens
 from graphloom.llm.vectors import TASK, classes_of_copies, route, shared_units
-from graphloom.operators.nodes import current_nodes
-from graphloom.operators.records import mix64
+from graphloom.operators.nodes import current_nodes, profile_sequences
+from graphloom.operators.records import current_sequences, current_vectors, mix64
 
 VECTORS = "field_name string, id bigint, fids array<bigint>, vals array<double>"
 
@@ -238,9 +238,10 @@ def brute_sets(sets, t):
     return {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a]) >= 8 and len(sets[b]) >= 8 and round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) >= t}
 
 
-@pytest.mark.parametrize("rows,growth", [(64, 4), (2, 2)])
-def test_p3_equals_brute_force(spark, monkeypatch, rows, growth):
+@pytest.mark.parametrize("rows,growth,t", [(64, 4, 0.8), (2, 2, 0.8), (2, 2, 0.3)])
+def test_p3_equals_brute_force(spark, monkeypatch, rows, growth, t):
     monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(neardup, "PART_ROWS", 8)
     monkeypatch.setattr(neardup, "GROWTH", growth)
     rng, sets = random.Random(4), {}
     for g in range(25):
@@ -252,10 +253,10 @@ def test_p3_equals_brute_force(spark, monkeypatch, rows, growth):
                 s.add(rng.randrange(4000))
             sets[len(sets)] = s
     sets |= {500 + i: set(range(100, 110)) for i in range(6)}
-    df = spark.createDataFrame([("f", i, sorted(s), 0.8) for i, s in sets.items()], "field_name string, id bigint, toks array<bigint>, t double")
+    df = spark.createDataFrame([("f", i, sorted(s), t) for i, s in sets.items()], "field_name string, id bigint, toks array<bigint>, t double")
     found, members = neardup.near_duplicates(df.withColumn("n", F.lit(0)))
     got = [(r.id_a, r.id_b) for r in neardup.all_pairs(found, members).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute_sets(sets, 0.8)
+    assert len(got) == len(set(got)) and set(got) == brute_sets(sets, t)
     assert neardup.all_pairs(*neardup.near_duplicates(df.limit(0))).count() == 0
 
 
@@ -324,6 +325,24 @@ def test_p4_scores(spark):
     assert distinct.distinctive_terms(frame(spark, {})).count() == 0
 
 
+def test_p4_graph_of_words_reads_in_recorded_order(spark):
+    from datetime import datetime
+
+    rows = [(1, 1, 0.5, 1), (1, 2, 1.0, 1), (1, 1, 0.7, 2), (1, 3, 1.0, 2), (1, 1, 0.7, 2), (1, 1, 0.9, 3), (1, 4, 1.0, 3), (1, 5, 1.0, 3), (1, 6, 2.0, 1), (1, 6, None, 4), (None, 9, 1.0, 1), (2, 7, 1.0, 1)]
+    features = spark.createDataFrame([(g, f, v, datetime(2024, 1, d)) for g, f, v, d in rows], "gid bigint, fid bigint, value double, loaded_at timestamp")
+    seq = current_sequences(features)
+    got = {r.id: r for r in seq.collect()}
+    assert got[1].reads == [1, 2, 1, 3, 1, 4, 5] and got[1].fids == [1, 2, 3, 4, 5] and got[1].vals == [0.9, 1, 1, 1, 1] and got[2].reads == [7]
+    plain = {r.id: (r.fids, r.vals) for r in current_vectors(features).collect()}
+    assert plain == {i: (r.fids, r.vals) for i, r in got.items()}
+    scored = {(r.record_id, r.fid): r for r in distinct.distinctive_terms(seq.withColumn("field_name", F.lit("f")), 2).collect()}
+    assert [scored[1, f].degree for f in (1, 2, 3, 4, 5)] == [3, 1, 1, 2, 1]  # fid 1 came again and again, beside 2, 3 and 4
+    assert scored[1, 1].score == round(3 * math.log(2), 6) > scored[1, 2].score
+    assert current_sequences(features.limit(0)).count() == 0
+    stored = profile_sequences(current_nodes(nodes(spark)))
+    assert {r.id: (r.fids, r.vals, r.reads) for r in stored.collect()} == {1: ([5, 8], [1.0, 2.0], [5, 5, 8])}
+
+
 def test_p6_pieces_are_whole_and_fit(spark):
     rng = random.Random(5)
     sizes = {i: rng.choice([0, 1, 3, rng.randrange(1, 60), rng.randrange(40, 130), 977]) for i in range(3000)}
@@ -346,6 +365,9 @@ def test_p6_pieces_are_whole_and_fit(spark):
             assert at == n and (n > capacity or len(parts.get(doc, [])) == (n > 0))
         assert len(fill) <= 1.03 * sum(sizes.values()) / capacity + 1
     assert packing.pack(docs.limit(0), boxes).count() == 0
+    assert {r[0]: r[1:] for r in packing.packing_checks(packed, docs, boxes).collect()} == {i: (sum(n > 0 for n in sizes.values()), 0, 0, 0) for i in (1, 2)}
+    broken = packing.packing_checks(packed.where("container_id = 1").withColumn("tokens", F.col("tokens") + 1), docs, boxes).where("container_id = 1").first()
+    assert broken.overfull > 0 and broken.wrong_pieces > 0
     report = {r.container_id: r for r in packing.fill_report(packed, boxes).collect()}
     assert 0 <= report[1].unused < 0.05
 
@@ -363,11 +385,18 @@ def test_p7_shares_caps_and_repeats(spark):
     rng = random.Random(6)
     rows = [(i, rng.choice(["Big", " big ", "big"]) if i < 6000 else "mid-size" if i < 8000 else None if i < 8100 else "small", rng.randrange(1, 200), f"t{i}") for i in range(8400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, source string, n_tokens bigint, text string").withColumn("copies", F.lit(0))
+    tokens = {"big": 0, "mid_size": 0, "small": 0}
+    for _, source, n, _ in rows:
+        if source:
+            tokens[{"big": "big", "mid-size": "mid_size", "small": "small"}[source.strip().lower()]] += n
     goals = spark.createDataFrame([("big", 0.5, 1), ("mid_size", 0.3, 2), ("small", 0.1, 4), ("absent", 0.1, 3)], "source string, target_share double, max_repeats int")
     mixed = mixing.mix(docs, goals)
     report = {r.source: r for r in mixing.share_report(mixed, goals).collect()}
     for source, share, cap in (("big", 0.5, 1), ("mid_size", 0.3, 2), ("small", 0.1, 4)):
-        assert abs(report[source].reached_share - share / 0.9) < 0.01 and report[source].most <= cap
+        reached = min(share / 0.9 * sum(tokens.values()), cap * tokens[source])  # a source at its cap gives what it has
+        assert abs(report[source].tokens - reached) < 0.01 * reached and report[source].most <= cap
+    assert sum(r.reached_share for r in report.values()) == pytest.approx(1, abs=1e-5)
+    assert all(r[1:] == (0, 0, 0) for r in mixing.mixture_checks(mixed, goals).collect())
     assert report["absent"].reached_share == 0 and report["absent"].copies == 0
     order = [r.shuffle_key for r in mixed.select("shuffle_key").collect()]
     assert order == sorted(order) and mixed.collect() == mixing.mix(docs, goals).collect()
@@ -408,6 +437,14 @@ def test_p8_tells_lists_from_sentences(spark):
     assert spam.stuffed_pages(docs.limit(0)).count() == 0
 
 
+def test_p8_goes_by_the_shapes_of_lines(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(SPAM)], "doc_id bigint, text string")
+    assert {r.pages_alike for r in spam.stuffed_pages(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100))).collect()} >= {2}
+    short = spark.createDataFrame([(1, "cheap shoes buy shoes online"), (2, "Danke!"), (3, "Use `x` instead."), (4, "a.example/b c.example/d e.example/f")], "doc_id bigint, text string")
+    assert {r.doc_id for r in spam.stuffed_pages(short).collect()} == {1, 4}
+    assert spam.text_shapes("\n".join(["Buy now."] * 3)) and all(k != "remark" for k in spam.text_shapes("Buy now.\nBuy now."))
+
+
 def test_p8_reads_to_the_end():
     text = HAM[0] * 200 + "\n" + SPAM[0] * 600
     shapes = spam.text_shapes(text)
