@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.hashing import hash_text, hash_values, int_hash, mask_of, prefix_states
+from graphloom.functions.hashing import hash_array, hash_text, hash_values, int_hash, mask_of, prefix_states
 from graphloom.operators.graph_ops import degrees
 from graphloom.store import keep
 
@@ -131,7 +131,14 @@ def real_vector_features(pairs: DataFrame, projections: int = 1, bits: int = 15)
     return keyed.select("gid", "fid", value.alias("value")).groupBy("gid", "fid").agg(F.sum("value").alias("value"))
 
 
-def _string_counts(radius: int, distance: int, bits: int):
+def vector_codes(features: DataFrame, bits: int = 30) -> DataFrame:
+    """``(gid, code)``: one hash of a whole vector, H over its (fid, value in ten-thousandths, cut off) in order of fid."""
+    row = features.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("fid", F.when(F.col("value") < 0, F.ceil(F.col("value") * 10_000)).otherwise(F.floor(F.col("value") * 10_000)).alias("v")))).alias("e"))
+    return row.select("gid", hash_array(F.flatten(F.transform("e", lambda e: F.array(e["fid"], e["v"]))), bits).alias("code"))
+
+
+def _string_cells(text: str | None, radius: int, distance: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every position of a text the combination (r, d), numbered in order, and the fid of each of its features."""
     mask = np.int64(mask_of(bits))
     start, word = np.uint64(0xAAAAAAAA), np.uint64(0xFFFFFFFF)
 
@@ -143,30 +150,56 @@ def _string_counts(radius: int, distance: int, bits: int):
             h = (h ^ t) & word
         return h.astype(np.int64) & mask
 
-    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for gid, text in zip(frame.gid, frame.text):
-                codes = np.frombuffer((text or "").encode(), np.int8)
-                n = len(codes)
-                if not n:
+    codes = np.frombuffer((text or "").encode(), np.int8)
+    n, combos, fids = len(codes), [], []
+    states = prefix_states(codes, radius + 1) if n else None
+    for r in range(radius + 1 if n else 0):
+        c = np.where(np.arange(n) + r < n, states[:, r] & mask, 0)
+        for d in range(distance + 1):
+            far = c[np.minimum(np.arange(n) + d, n - 1)]
+            fids.append(np.r_[h4(r, d, np.minimum(c, far), np.maximum(c, far)), h4(r, d, np.zeros(n, np.int64), far)])
+            combos.append(np.full(2 * n, r * (distance + 1) + d))
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *combos]), np.concatenate([none, *fids])
+
+
+def string_vectors(texts: DataFrame, radius: int = 2, distance: int = 5, bits: int = 15) -> DataFrame:
+    """``(gid, fid, value)`` of whole texts ``(gid, text)``: substring pairs by prefix hashing, normalised as ``instance_vectors`` does.
+
+    A text is complete in its row, so its vector is made there and nothing is shuffled.  Null and empty texts have no row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, text in zip(batch["gid"].to_pylist(), batch["text"].to_pylist()):
+                combo, fid = _string_cells(text, radius, distance, bits)
+                if not len(fid):
                     continue
-                states = prefix_states(codes, radius + 1)
-                cells = []
-                for r in range(radius + 1):
-                    c = np.where(np.arange(n) + r < n, states[:, r] & mask, 0)
-                    for d in range(distance + 1):
-                        far = c[np.minimum(np.arange(n) + d, n - 1)]
-                        fid = np.r_[h4(r, d, np.minimum(c, far), np.maximum(c, far)), h4(r, d, np.zeros(n, np.int64), far)]
-                        f, m = np.unique(fid, return_counts=True)
-                        cells.append(pd.DataFrame({"gid": gid, "vid": 0, "r": r, "d": d, "fid": f, "count": m.astype(float)}))
-                yield pd.concat(cells)
-
-    return counts
-
-
-def string_features(texts: DataFrame, radius: int = 2, distance: int = 5, bits: int = 15) -> DataFrame:
-    """``(gid, vid, r, d, fid, count)`` of substrings of whole texts ``(gid, text)``, by prefix hashing; give it to ``instance_vectors``."""
-    return texts.mapInPandas(_string_counts(radius, distance, bits), "gid bigint, vid int, r int, d int, fid bigint, count double")
+                key, count = np.unique((combo << np.int64(bits)) | fid, return_counts=True)
+                at = key >> np.int64(bits)
+                norm = np.sqrt(np.bincount(at, count.astype(float) ** 2))
+                f, place = np.unique(key & np.int64(mask_of(bits)), return_inverse=True)
+                value = np.bincount(place, count / norm[at], len(f))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(f), gid)), pa.array(f), pa.array(value / np.sqrt((value**2).sum()))], names=["gid", "fid", "value"])
+
+    return texts.select("gid", "text").mapInArrow(run, "gid bigint, fid bigint, value double")
+
+
+def string_positions(texts: DataFrame, radius: int = 2, distance: int = 5, bits: int = 15) -> DataFrame:
+    """``(gid, vid, fid, value)``: the features that start at each byte of a text, not normalised."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for gid, text in zip(batch["gid"].to_pylist(), batch["text"].to_pylist()):
+                combo, fid = _string_cells(text, radius, distance, bits)
+                if not len(fid):
+                    continue
+                n = len((text or "").encode())
+                vid = np.tile(np.arange(n), len(fid) // n)
+                key, count = np.unique((vid << np.int64(bits)) | fid, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), gid)), pa.array((key >> np.int64(bits)).astype(np.int32)), pa.array(key & np.int64(mask_of(bits))), pa.array(count.astype(float))], names=["gid", "vid", "fid", "value"])
+
+    return texts.select("gid", "text").mapInArrow(run, "gid bigint, vid int, fid bigint, value double")
 
 
 def nspdk(vertices: DataFrame, edges: DataFrame, distances: DataFrame, radius: int = 1, bits: int = 15, normalise: bool = True) -> DataFrame:

@@ -49,8 +49,8 @@ class Job:
             f = readers.reader("SPARSE_VECTOR", o["binary_file_type"])(self.spark, o["input_data_file_name"])
             f = f if o["no_normalization"] else kernels.unit_length(f)
         elif o["file_type"] == "STRINGSEQ":
-            parts = kernels.string_features(readers.read_strings(self.spark, o["input_data_file_name"]), o["radius"], o["distance"], o["hash_bit_size"])
-            f = kernels.instance_vectors(parts, not o["no_normalization"])
+            texts, shape = readers.read_strings(self.spark, o["input_data_file_name"]), (o["radius"], o["distance"], o["hash_bit_size"])
+            f = kernels.string_positions(texts, *shape).groupBy("gid", "fid").agg(F.sum("value").alias("value")) if o["no_normalization"] else kernels.string_vectors(texts, *shape)
         elif o["kernel_type"] == "NSPDK" and o["radius"] <= 1:
             v, e = self.graph
             f = kernels.nspdk(v, e, keep(graph_ops.bounded_distances(v, e, o["distance"])), o["radius"], o["hash_bit_size"], not o["no_normalization"])
@@ -64,7 +64,7 @@ class Job:
             raise ValueError("sparse vectors have no parts")
         if self.o["file_type"] == "STRINGSEQ":
             texts = readers.read_strings(self.spark, self.o["input_data_file_name"])
-            return keep(kernels.vertex_vectors(kernels.string_features(texts, self.o["radius"], self.o["distance"], self.o["hash_bit_size"])))
+            return keep(kernels.string_positions(texts, self.o["radius"], self.o["distance"], self.o["hash_bit_size"]))
         return keep(local_kernels.local_vertex_features(*self.graph, self.o["kernel_type"], self.config))
 
     @cached_property

@@ -143,7 +143,7 @@ def min_kernel(spark, sf_dir):
 @query()
 def string_kernel(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("gid"), "text")
-    return kernels.instance_vectors(kernels.string_features(texts, 1, 2))
+    return kernels.string_vectors(texts)
 
 
 # --- labelled graphs --------------------------------------------------------------------------------------------------

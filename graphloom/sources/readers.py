@@ -5,10 +5,10 @@ Lines are numbered without gathering them: the place in a partition plus the lin
 
 from __future__ import annotations
 
-import os
 import struct
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,12 +22,13 @@ _OFFSET = (1 << 33) - 1
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(line_no, line)`` in input order, from 0."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("m"), F.col("value").alias("line"))
-    part = F.shiftright("m", 33)
-    sizes = lines.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))  # a row per partition
-    before = sizes.select("p", (F.coalesce(F.sum("n").over(Window.orderBy("p")), F.lit(0)) - F.col("n")).alias("before"))
-    return lines.withColumn("p", part).join(F.broadcast(before), "p").select((F.col("before") + F.col("m").bitwiseAND(F.lit(_OFFSET))).alias("line_no"), "line")
+    """``(line_no, line)`` from 0 in order of file name, then of place in the file, however the files are split among tasks."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("m"), F.col("value").alias("line")
+    )
+    pieces = lines.groupBy("file", "start").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))  # a row per piece of a file
+    before = pieces.select("file", "start", "first", (F.sum("n").over(Window.orderBy("file", "start")) - F.col("n")).alias("before"))
+    return lines.join(F.broadcast(before), ["file", "start"]).select((F.col("before") + F.col("m") - F.col("first")).alias("line_no"), "line")
 
 
 def _fail(message: str, detail, kind: str = "string"):
@@ -136,23 +137,36 @@ def read_sparse(spark: SparkSession, path: str) -> DataFrame:
     return words.select("gid", F.split_part("w", F.lit(":"), F.lit(1)).cast("bigint").alias("fid"), F.split_part("w", F.lit(":"), F.lit(2)).cast("double").alias("value"))
 
 
-def read_sparse_binary(spark: SparkSession, path: str) -> DataFrame:
-    """``(gid, fid, value)`` of vectors stored as a count and that many (int32, float32); files follow each other by name."""
+def unpack_vectors(data: bytes, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranks, fids and values of vectors stored one after another as a count and that many (int32, float32)."""
+    at, rank, ranks, cells = 0, 0, [], []
+    while at < len(data):
+        (n,) = struct.unpack_from("<i", data, at) if at + 4 <= len(data) else (-1,)
+        if n < 0 or at + 4 + 8 * n > len(data):
+            raise ValueError(f"truncated vector in {name}")
+        cells.append(np.frombuffer(data, [("fid", "<i4"), ("value", "<f4")], n, at + 4))
+        ranks.append(np.full(n, rank))
+        at, rank = at + 4 + 8 * n, rank + 1
+    every = np.concatenate(cells) if cells else np.zeros(0, [("fid", "<i4"), ("value", "<f4")])
+    return np.concatenate([np.zeros(0, np.int64), *ranks]), every["fid"].astype(np.int64), every["value"].astype(np.float64)
+
+
+def decode_vectors(stored: DataFrame, key: str = "gid", data: str = "data") -> DataFrame:
+    """``(<key>, rank, fid, value)`` of a column of stored vectors."""
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for name, data in zip(frame.path, frame.content):
-                at, rank, rows = 0, 0, []
-                while at < len(data):
-                    (n,) = struct.unpack_from("<i", data, at)
-                    if n < 0 or at + 4 + 8 * n > len(data):
-                        raise ValueError(f"truncated vector in {name}")
-                    rows += [(name, rank, *struct.unpack_from("<if", data, at + 4 + 8 * i)) for i in range(n)]
-                    at, rank = at + 4 + 8 * n, rank + 1
-                yield pd.DataFrame(rows, columns=["file", "rank", "fid", "value"])
-
-    cells = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, rank bigint, fid bigint, value double")
-    cells = keep(cells)
+            for name, content in zip(frame[key], frame[data]):
+                rank, fid, value = unpack_vectors(content, str(name))
+                yield pd.DataFrame({key: name, "rank": rank, "fid": fid, "value": value})
+
+    kind = dict(stored.dtypes)[key]
+    return stored.select(key, data).mapInPandas(parse, f"{key} {kind}, rank bigint, fid bigint, value double")
+
+
+def read_sparse_binary(spark: SparkSession, path: str) -> DataFrame:
+    """``(gid, fid, value)`` of vectors stored as a count and that many (int32, float32); files follow each other by name."""
+    cells = keep(decode_vectors(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content"), "file", "content"))
     sizes = cells.groupBy("file").agg((F.max("rank") + 1).alias("n"))  # a row per file
     before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
     return cells.join(before, "file").select((F.col("before") + F.col("rank")).alias("gid"), "fid", "value")
@@ -190,20 +204,25 @@ def read_multilabel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_model(spark: SparkSession, path: str) -> DataFrame:
-    """``(fid, w)`` of a text model with lines ``bias b``, ``wscale s`` and ``w fid:value ...``; weights are scaled, the bias has fid -1."""
-    lines = [r[0].split() for r in spark.read.text(path).where("value rlike '^(bias|wscale|w)( |$)'").collect()]  # three lines
-    given = {words[0]: words[1:] for words in lines if words}
-    if set(given) != {"bias", "wscale", "w"}:
+    """``(fid, w)`` of a text model with lines ``bias b``, ``wscale s`` and ``w fid:value ...``; weights are scaled, the bias has fid -1.
+
+    Weights may be spread over any number of ``w`` lines; only bias and scale reach the driver.
+    """
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("w"))
+    heads = {r[0][0]: float(r[0][1]) for r in lines.where(F.col("w")[0].isin("bias", "wscale") & (F.size("w") > 1)).limit(3).collect()}
+    if set(heads) != {"bias", "wscale"} or not lines.where(F.col("w")[0] == "w").limit(1).count():
         raise ValueError(f"not a model: {path}")
-    scale = float(given["wscale"][0])
-    rows = [(-1, float(given["bias"][0]))] + [(int(f), float(v) * scale) for f, v in (w.split(":") for w in given["w"])]
-    return spark.createDataFrame(rows, "fid bigint, w double")
+    cells = lines.where(F.col("w")[0] == "w").select(F.explode(F.slice("w", F.lit(2), F.size("w") - 1)).alias("c"))
+    part = lambda i: F.split_part("c", F.lit(":"), F.lit(i))
+    weights = cells.select(part(1).cast("bigint").alias("fid"), (part(2).cast("double") * F.lit(heads["wscale"])).alias("w"))
+    return spark.createDataFrame([(-1, heads["bias"])], "fid bigint, w double").unionByName(weights)
 
 
 def read_models(spark: SparkSession, folder: str) -> DataFrame:
-    """``(task, fid, w)`` of model_0, model_1, ... until one is missing; none is an error."""
+    """``(task, fid, w)`` of model_0, model_1, ... until one is missing, on whatever store holds the folder; none is an error."""
     out, task = None, 0
-    while os.path.exists(f"{folder}/model_{task}"):
+    here = lambda: spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/model_{task}")
+    while here().getFileSystem(spark._jsc.hadoopConfiguration()).exists(here()):
         one = read_model(spark, f"{folder}/model_{task}").withColumn("task", F.lit(task))
         out, task = one if out is None else out.unionByName(one), task + 1
     if out is None:
@@ -223,12 +242,15 @@ ELEMENTS = "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe
 
 
 def read_molecules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Molecules of SDF (V2000) files: vertices labelled by atomic number, edges a, s, d or t both ways."""
+    """Molecules of SDF (V2000) files: vertices labelled by atomic number, edges a, s, d or t both ways.
+
+    Molecules are numbered through all files in order of their names.
+    """
     number = {e: str(i + 1) for i, e in enumerate(ELEMENTS)}
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for text in frame.value:
+            for name, text in zip(frame.file, frame.value):
                 rows = []
                 for gid, block in enumerate(b for b in text.split("$$$$") if b.strip()):
                     lines = block.lstrip("\n").split("\n") if not block.startswith("\n\n") else block[1:].split("\n")
@@ -238,13 +260,17 @@ def read_molecules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
                     atoms, bonds = int(lines[at][:3]), int(lines[at][3:6])
                     for i in range(atoms):
                         symbol = lines[at + 1 + i][31:34].strip()
-                        rows.append((gid, i, None, number.get(symbol, symbol)))
+                        rows.append((name, gid, i, None, number.get(symbol, symbol)))
                     for line in lines[at + 1 + atoms : at + 1 + atoms + bonds]:
                         a, b, kind = int(line[:3]) - 1, int(line[3:6]) - 1, int(line[6:9])
-                        rows += [(gid, a, b, BONDS.get(kind, "s")), (gid, b, a, BONDS.get(kind, "s"))]
-                yield pd.DataFrame(rows, columns=["gid", "a", "b", "label"]).astype({"b": "Int64"})
+                        rows += [(name, gid, a, b, BONDS.get(kind, "s")), (name, gid, b, a, BONDS.get(kind, "s"))]
+                yield pd.DataFrame(rows, columns=["file", "gid", "a", "b", "label"]).astype({"b": "Int64"})
 
-    rows = keep(spark.read.text(path, wholetext=True).mapInPandas(parse, "gid bigint, a int, b int, label string"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = keep(texts.mapInPandas(parse, "file string, gid bigint, a int, b int, label string"))
+    sizes = rows.groupBy("file").agg((F.max("gid") + 1).alias("n"))  # a row per file
+    before = sizes.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
+    rows = rows.join(F.broadcast(before), "file").withColumn("gid", F.col("before") + F.col("gid")).drop("file", "before")
     vertices = vertex_rows(rows.where("b is null").select("gid", F.col("a").alias("vid"), "label"))
     return vertices, edge_rows(rows.where("b is not null").select("gid", F.col("a").alias("src"), F.col("b").alias("dst"), "label"))
 

@@ -20,10 +20,12 @@ _KEPT: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``, or one of our own if the session has none."""
+    """The folder named by ``spark.checkpoint.dir``, or one of our own if a local session has none; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="graphloom-")
@@ -31,6 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted by ``release``."""
+    path = f"{shared_folder(spark)}/graphloom-{uuid.uuid4().hex}"
+    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and return it as a scan of that table.
 
@@ -38,9 +47,8 @@ def keep(df: DataFrame, codec: str = "zstd") -> DataFrame:
     executors' disks until it happens to do so.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/graphloom-{uuid.uuid4().hex}"
+    path = scratch(spark)
     df.write.option("compression", codec).parquet(path)
-    _KEPT.setdefault(spark.sparkContext.applicationId, []).append(path)
     gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

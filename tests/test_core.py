@@ -109,8 +109,13 @@ def test_directed_copy(spark):
 
 
 def test_string_kernel_counts_every_place(spark):
-    got = kernels.string_features(spark.createDataFrame([(1, "abab"), (2, "")], "gid bigint, text string"), 0, 0)
-    assert got.groupBy("gid").agg(F.sum("count").alias("c")).collect()[0].c == 8
+    texts = spark.createDataFrame([(1, "abab"), (2, ""), (3, None), (4, "x" * 3000)], "gid bigint, text string")
+    got = kernels.string_positions(texts, 0, 0)
+    assert {r.gid: r.c for r in got.groupBy("gid").agg(F.sum("value").alias("c")).collect()} == {1: 8, 4: 6000}
+    assert {r.vid for r in got.where("gid = 1").collect()} == {0, 1, 2, 3}
+    vectors = kernels.string_vectors(texts, 1, 2)
+    assert {r.gid: round(r.n, 9) for r in vectors.groupBy("gid").agg(F.sum(F.col("value") * F.col("value")).alias("n")).collect()} == {1: 1.0, 4: 1.0}
+    assert {r.fid for r in kernels.string_vectors(texts, 0, 0).where("gid = 1").collect()} == {r.fid for r in got.where("gid = 1").collect()}
 
 
 def test_minimum_kernel_and_rehash(spark):
