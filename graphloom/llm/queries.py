@@ -32,7 +32,7 @@ def p2_found(spark, sf_dir):
 
 
 def p2_similar(spark, sf_dir):
-    return similar.most_similar(_fields(spark, sf_dir), k=5)
+    return similar.most_similar(_fields(spark, sf_dir), k=5, features=12)
 
 
 def _near(spark, sf_dir):
