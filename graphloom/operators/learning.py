@@ -10,16 +10,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.functions.hashing import int_hash
-from graphloom.operators.sampling import cross_validation_folds
+from graphloom.operators.sampling import cross_validation_folds, hash_places
 from graphloom.store import keep
 
 #: Bias step, scale floor and clamp of the sparsifying weights (fixed values).
 BIAS_RATE, SCALE_FLOOR, WEIGHT_LIMIT = 0.01, 1e-9, 1e3
 MODEL = "task int, fid bigint, w double"
+#: Cells of a Laplacian that a trainer may hold.
+LAPLACIAN_CELLS = 2_000_000
 BIAS_FID = -1
 
 
@@ -100,13 +101,27 @@ def one_class(features: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataF
     return features.unionByName(turned), targets.unionByName(targets.select((-1 - F.col("gid")).alias("gid"), (-F.col("y")).alias("y")))
 
 
-def train_tasks(features: DataFrame, targets: DataFrame, config: TrainConfig | None = None) -> DataFrame:
-    """``(task, fid, w)`` of one model per task of ``targets (task, gid, y)``; only +1 and -1 rows train; the bias has fid -1."""
+def laplacian_rows(laplacian: DataFrame) -> dict[int, list[tuple[int, float]]]:
+    """``vectors_ops.correlation_laplacian`` as rows by feature, for the trainer; an error above LAPLACIAN_CELLS cells.
+
+    The hash space of the features bounds its rows, and the number of neighbours their lengths.
+    """
+    cells = laplacian.select("fid_i", "fid_j", "v").limit(LAPLACIAN_CELLS + 1).toPandas()
+    if len(cells) > LAPLACIAN_CELLS:
+        raise ValueError(f"the Laplacian has more than {LAPLACIAN_CELLS} cells; use fewer hash bits or neighbours")
+    return {int(i): list(zip(rows.fid_j.astype(int), rows.v.astype(float))) for i, rows in cells.groupby("fid_i")}
+
+
+def train_tasks(features: DataFrame, targets: DataFrame, config: TrainConfig | None = None, laplacian: dict[int, list[tuple[int, float]]] | None = None) -> DataFrame:
+    """``(task, fid, w)`` of one model per task of ``targets (task, gid, y)``; only +1 and -1 rows train; the bias has fid -1.
+
+    With ``laplacian`` and ``config.laplacian_rate`` features that occur together are pulled together after every pass but the first.
+    """
     config = config or TrainConfig()
+    shared = features.sparkSession.sparkContext.broadcast(laplacian) if laplacian else None
     rows = packed(features)
-    w = Window.partitionBy("task", "y")
-    labelled = targets.where("y in (1, -1)").dropDuplicates(["task", "gid"])
-    ranked = labelled.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy(int_hash(F.col("gid"), config.seed), "gid")) - 1)
+    labelled = targets.where("y in (1, -1)").dropDuplicates(["task", "gid"]).select("task", "gid", "y")
+    ranked = hash_places(labelled, ["task", "y"], config.seed).withColumnsRenamed({"among": "n", "place": "r"})
     most = ranked.groupBy("task").agg(F.max("n").alias("m"))
     times = F.floor((F.col("m") - 1 - F.col("r")) / F.col("n"))
     dealt = ranked.join(most, "task").withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), times)))
@@ -114,16 +129,16 @@ def train_tasks(features: DataFrame, targets: DataFrame, config: TrainConfig | N
 
     def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
-        weights, bias = sgd([(np.asarray(f), np.asarray(v, float), y) for f, v, y in zip(frame.fids, frame.vals, frame.y)], config)
+        weights, bias = sgd([(np.asarray(f), np.asarray(v, float), y) for f, v, y in zip(frame.fids, frame.vals, frame.y)], config, shared.value if shared else None)
         return pd.DataFrame({"task": key[0], "fid": [BIAS_FID, *weights], "w": [bias, *weights.values()]})
 
     return dealt.join(rows, "gid").select("task", "pos", "y", "fids", "vals").groupBy("task").applyInPandas(fit, MODEL)
 
 
-def train(features: DataFrame, targets: DataFrame, config: TrainConfig | None = None) -> DataFrame:
+def train(features: DataFrame, targets: DataFrame, config: TrainConfig | None = None, laplacian: dict[int, list[tuple[int, float]]] | None = None) -> DataFrame:
     """``(fid, w)`` of one model; a missing class is made by turned copies."""
     f, t = one_class(features, targets.where("y in (1, -1)"))
-    return train_tasks(f, t.withColumn("task", F.lit(0)), config).select("fid", "w")
+    return train_tasks(f, t.withColumn("task", F.lit(0)), config, laplacian).select("fid", "w")
 
 
 def predict(features: DataFrame, model: DataFrame) -> DataFrame:
@@ -192,51 +207,80 @@ def learning_curve(features: DataFrame, targets: DataFrame, points: int = 10, co
     return scored.select(F.col("task").alias("point"), "gid", "y", (F.col("fold") == 0).alias("is_test"), "margin")
 
 
-def self_train(features: DataFrame, targets: DataFrame, rounds: int = 3, share: float = 0.1, only: str | None = None, config: TrainConfig | None = None) -> DataFrame:
-    """``(fid, w)``: unlabelled (0) instances whose margins are among the extreme ``share`` of their sign join the training set each round.
+def self_train(features: DataFrame, targets: DataFrame, rounds: int = 3, threshold: float = 1.0, only: str | None = None, config: TrainConfig | None = None, laplacian: dict[int, list[tuple[int, float]]] | None = None) -> DataFrame:
+    """``(fid, w)``: unlabelled (0) instances with confident margins join the training set each round.
 
-    ``only`` restricts what is added to ``positive`` or ``negative``.
+    Of the positive margins those at or above their ``threshold`` quantile count as +1 and of the negative ones those at or below
+    their 1 - ``threshold`` quantile as -1; at the default 1 only the extremes.  If all margins have one sign, both quantiles are taken over all
+    of them.  ``only`` restricts what is added to ``positive`` or ``negative``.
     """
+    if not 0 <= threshold <= 1:
+        raise ValueError("threshold must be a quantile")
     labelled = targets.where("y in (1, -1)").select("gid", "y")
     rest = features.join(targets.where("y = 0").select("gid").distinct(), "gid", "left_semi").select("gid", "fid", "value")
-    model = keep(train(features, labelled, config))
+    model = keep(train(features, labelled, config, laplacian))
     for _ in range(rounds):
         scored = keep(predict(rest, model))
-        bars = scored.agg(F.percentile_approx(F.when(F.col("margin") > 0, F.col("margin")), 1 - share).alias("hi"), F.percentile_approx(F.when(F.col("margin") <= 0, F.col("margin")), share).alias("lo"))
-        picked = scored.join(bars, F.lit(True)).select("gid", F.when(F.col("margin") >= F.col("hi"), 1.0).when(F.col("margin") <= F.col("lo"), -1.0).alias("y")).where("y is not null")
+        margin = F.col("margin")
+        at = lambda which, q: F.percentile_approx(F.when(which, margin), q)
+        bars = scored.agg(
+            at(margin > 0, threshold).alias("up"), at(margin <= 0, 1 - threshold).alias("down"), at(F.lit(True), threshold).alias("high"), at(F.lit(True), 1 - threshold).alias("low"),
+            F.coalesce(F.bool_or(margin > 0) & F.bool_or(margin <= 0), F.lit(True)).alias("both"),
+        )
+        hi, lo = F.when(F.col("both"), F.col("up")).otherwise(F.col("high")), F.when(F.col("both"), F.col("down")).otherwise(F.col("low"))
+        picked = scored.join(F.broadcast(bars), F.lit(True)).select("gid", F.when(margin >= hi, 1.0).when(margin <= lo, -1.0).alias("y")).where("y is not null")
         if only:
             picked = picked.where("y > 0" if only == "positive" else "y < 0")
-        model = keep(train(features, labelled.unionByName(picked), config))
+        model = keep(train(features, labelled.unionByName(picked), config, laplacian))
     return model
 
 
-def parameter_search(features: DataFrame, targets: DataFrame, grid: dict[str, list], rounds: int = 1, folds: int = 3) -> tuple[TrainConfig, list[dict]]:
-    """Coordinate line search: one parameter at a time, by the balanced F of cross-validation."""
-    best, tried = TrainConfig(), []
+def parameter_search(features, targets: DataFrame, grid: dict[str, list], rounds: int = 1, folds: int = 3, start: dict | None = None) -> tuple[dict, list[dict]]:
+    """Coordinate line search: one parameter at a time, by the balanced F of cross-validation; the best value of each is kept.
+
+    ``features`` is a table, or a function of a dict of kernel parameters that gives one; parameters of ``TrainConfig`` go to the
+    trainer and all others to that function.  Returns the best values and every trial with its score.
+    """
+    own = set(TrainConfig.__dataclass_fields__)
+    best = {**TrainConfig().__dict__, **(start or {})}
+    made: dict[tuple, DataFrame] = {}
+    tried = []
     for _ in range(rounds):
         for name, values in grid.items():
             scores = []
             for value in values:
-                config = TrainConfig(**{**best.__dict__, name: value})
-                f = metrics(cross_validate(features, targets, folds, config)).first()["f_balanced"]
+                now = {**best, name: value}
+                shape = {k: v for k, v in now.items() if k not in own}
+                if tuple(shape.items()) not in made:
+                    made[tuple(shape.items())] = features(shape) if callable(features) else features
+                f = metrics(cross_validate(made[tuple(shape.items())], targets, folds, TrainConfig(**{k: v for k, v in now.items() if k in own}))).first()["f_balanced"]
                 scores.append((f if f is not None else -1.0, value))
-                tried.append({**config.__dict__, "f_balanced": f})
-            best = TrainConfig(**{**best.__dict__, name: max(scores, key=lambda s: s[0])[1]})
+                tried.append({**now, "f_balanced": f})
+            best[name] = max(scores, key=lambda s: s[0])[1]
     return best, tried
 
 
-def embed(neighbours: DataFrame, dims: int = 2, iterations: int = 200, epsilon: float = 0.01, tau: float = 0.0005, non_neighbours: int = 100, seed: int = 1) -> DataFrame:
+def embed(neighbours: DataFrame, dims: int = 2, iterations: int = 200, epsilon: float = 0.01, tau: float = 0.0005, non_neighbours: int = 100, seed: int = 1, restarts: int = 1, tau_exponents: int = 1, start: DataFrame | None = None) -> DataFrame:
     """``(gid, x, distortion)``: low-dimensional places by pulling neighbours to 1 - k and pushing sampled others away, all at once per step.
 
-    One model sees all neighbour lists, n x K numbers; ``distortion`` is one less the mean share of neighbours kept, above chance.
+    One trial sees all neighbour lists, n x K numbers; trials, ``restarts`` random starts for each of ``tau_exponents`` values tau, tau / 10, ..., run side
+    by side, and that of least ``distortion`` is kept, ties to the first.  ``distortion`` is one less the mean share of neighbours kept, above
+    chance.  ``start (gid, x)`` gives the first restart's places; others begin at random.
     """
+    restarts, tau_exponents = max(1, restarts), max(1, tau_exponents)
 
-    def place(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, src = np.unique(frame.gid.to_numpy(), return_inverse=True)
+    def place(key, frame: pd.DataFrame) -> pd.DataFrame:
+        trial = int(key[0])
+        push = tau / 10 ** (trial // restarts)
+        ids, first, src = np.unique(frame.gid.to_numpy(), return_index=True, return_inverse=True)
         ok = np.isin(frame.nid.to_numpy(), ids) & (frame.nid.to_numpy() != frame.gid.to_numpy())
         src, dst, goal = src[ok], np.searchsorted(ids, frame.nid.to_numpy()[ok]), 1 - frame.k.to_numpy()[ok]
-        rng, n = np.random.default_rng(seed), len(ids)
+        rng, n = np.random.default_rng(seed + trial % restarts), len(ids)
         x = rng.uniform(-1, 1, (n, dims))
+        if trial % restarts == 0:
+            for i, given in enumerate(frame.x0.to_numpy()[first]):
+                if given is not None and len(given) == dims:
+                    x[i] = given
         for _ in range(iterations):
             gap = x[dst] - x[src]
             dist = np.sqrt((gap**2).sum(1)) + 1e-12
@@ -244,7 +288,7 @@ def embed(neighbours: DataFrame, dims: int = 2, iterations: int = 200, epsilon:
             np.add.at(move, src, gap * (epsilon * (dist - goal) / dist)[:, None])
             other = rng.integers(0, n, (n, min(non_neighbours, n)))
             away = x[:, None] - x[other]
-            move += (away * (tau / (np.sqrt((away**2).sum(2)) + 1e-3))[..., None]).sum(1)
+            move += (away * (push / (np.sqrt((away**2).sum(2)) + 1e-3))[..., None]).sum(1)
             x += move
         kept, k = 0.0, max(1, int(np.bincount(src, minlength=n).max(initial=1)))
         want = [set(g) for g in np.split(dst[np.argsort(src, kind="stable")], np.cumsum(np.bincount(src, minlength=n))[:-1])]
@@ -252,10 +296,17 @@ def embed(neighbours: DataFrame, dims: int = 2, iterations: int = 200, epsilon:
             d = ((x - x[i]) ** 2).sum(1)
             d[i] = np.inf
             kept += len(want[i] & set(np.argsort(d)[:k].tolist()))
-        distortion = 1 - (kept / n / k - k / n)
-        return pd.DataFrame({"gid": ids, "x": list(x), "distortion": distortion})
-
-    return neighbours.select("gid", "nid", "k", F.lit(0).alias("one")).groupBy("one").applyInPandas(place, "gid bigint, x array<double>, distortion double")
+        return pd.DataFrame({"trial": trial, "gid": ids, "x": list(x), "distortion": 1 - (kept / n / k - k / n)})
+
+    lists = neighbours.select("gid", "nid", "k")
+    known = lists.join(start.select("gid", F.col("x").alias("x0")), "gid", "left") if start is not None else lists.withColumn("x0", F.lit(None).cast("array<double>"))
+    trials = restarts * tau_exponents
+    tried = known.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).groupBy("trial").applyInPandas(place, "trial int, gid bigint, x array<double>, distortion double")
+    if trials == 1:
+        return tried.drop("trial")
+    tried = keep(tried)
+    best = tried.select("trial", "distortion").distinct().orderBy("distortion", "trial").limit(1).select("trial")
+    return tried.join(F.broadcast(best), "trial").drop("trial")
 
 
 def average_stress(places: DataFrame, products: DataFrame) -> DataFrame:

@@ -100,7 +100,13 @@ class Job:
     @cached_property
     def training(self) -> learning.TrainConfig:
         o = self.o
-        return learning.TrainConfig(lam=o["lambda"], epochs=o["epochs"], sparsify=o["sparsification_num_iterations"], seed=o["random_seed"])
+        return learning.TrainConfig(lam=o["lambda"], epochs=o["epochs"], sparsify=o["sparsification_num_iterations"], seed=o["random_seed"], laplacian_rate=o["topological_regularization_decay_rate"])
+
+    @cached_property
+    def laplacian(self) -> dict | None:
+        """The correlation Laplacian of the features at the same vertices, if topological regularisation is asked for."""
+        near = self.o["topological_regularization_num_neighbors"]
+        return learning.laplacian_rows(vectors_ops.correlation_laplacian(self.vertex_features, near)) if near else None
 
 
 def feature(j: Job):
@@ -163,8 +169,8 @@ def pre_cluster_filter(j: Job):
 def train(j: Job):
     if j.targets.where("y = 0").limit(1).count():
         only = "positive" if j.o["only_positive"] else "negative" if j.o["only_negative"] else None
-        return {"model": learning.self_train(j.features, j.targets, j.o["num_iterations"], only=only, config=j.training)}
-    return {"model": learning.train(j.features, j.targets, j.training)}
+        return {"model": learning.self_train(j.features, j.targets, j.o["num_iterations"], j.o["threshold"], only, j.training, j.laplacian)}
+    return {"model": learning.train(j.features, j.targets, j.training, j.laplacian)}
 
 
 def test(j: Job):
@@ -188,10 +194,26 @@ def cross_validation(j: Job):
 
 
 def parameters(j: Job):
-    grid = {"lam": [j.o["lambda"] * 10.0**i for i in (-1, 0, 1)], "epochs": [max(1, j.o["epochs"] // 2), j.o["epochs"], j.o["epochs"] * 2], "sparsify": [0, 1]}
-    best, tried = learning.parameter_search(j.features, j.targets, grid, j.o["num_line_search_iterations"], j.o["num_cross_validation_folds"])
-    rows = [(t["lam"], t["epochs"], t["sparsify"], t["f_balanced"], t["lam"] == best.lam and t["epochs"] == best.epochs and t["sparsify"] == best.sparsify) for t in tried]
-    return {"opt_param": j.spark.createDataFrame(rows, "lam double, epochs int, sparsify int, f_balanced double, best boolean")}
+    """Line search over the trainer's parameters and, where the input is a graph or string, over the kernel's."""
+    o = j.o
+    grid = {"lam": [o["lambda"] * 10.0**i for i in (-1, 0, 1)], "epochs": sorted({max(1, o["epochs"] // 2), o["epochs"], o["epochs"] * 2}), "sparsify": [0, 1]}
+    names = []
+    if "features" not in j.__dict__ and o["file_type"] != "SPARSE_VECTOR":
+        names = ["distance", "radius"] + (["tree_lambda"] if o["kernel_type"] in ("DDK", "NSDDK", "ANSDDK") else []) + (["radius_two"] if o["kernel_type"] in ("NSDDK", "ANSDDK") else [])
+        around = lambda v: sorted({max(0, v - 1), v, v + 1})
+        grid |= {n: [o[n] * x for x in (0.8, 1.0, 1.2)] if n == "tree_lambda" else around(o[n]) for n in names}
+    features = (lambda shape: Job(j.spark, Options(**{**o, **shape})).features) if names else j.features
+    best, tried = learning.parameter_search(features, j.targets, grid, o["num_line_search_iterations"], o["num_cross_validation_folds"], {n: o[n] for n in names})
+    columns = {"lam": float, "epochs": int, "sparsify": int, **{n: float if n == "tree_lambda" else int for n in names}}
+    rows = [(*[kind(t[c]) for c, kind in columns.items()], t["f_balanced"], all(t[c] == best[c] for c in columns)) for t in tried]
+    schema = ", ".join(f"{c} {'double' if kind is float else 'int'}" for c, kind in columns.items())
+    return {"opt_param": j.spark.createDataFrame(rows, schema + ", f_balanced double, best boolean")}
+
+
+def embed(j: Job):
+    o = j.o
+    start = readers.read_coordinates(j.spark, o["initial_embedding_coordinates_file_name"]) if o["initial_embedding_coordinates_file_name"] else None
+    return {"embedding": learning.embed(j.neighbours, o["dimensionality"], o["embed_iterations"], o["epsilon"], o["tau"], o["non_neighborhood_size"], o["random_seed"], o["num_restarts"], o["tau_exponent_range"], start)}
 
 
 RUN: dict[str, Callable[[Job], dict[str, DataFrame]]] = {
@@ -215,7 +237,7 @@ RUN: dict[str, Callable[[Job], dict[str, DataFrame]]] = {
     "LEARNING_CURVE": lambda j: {"learning_curve": learning.learning_curve(j.features, j.targets, j.o["num_evaluation_points"], j.training)},
     "PARAMETERS_OPTIMIZATION": parameters,
     "SEMI_SUPERVISED": lambda j: {"prediction": density.label_spreading(j.neighbours, j.targets, j.o["semi_supervised_alpha"], j.o["num_iterations"])},
-    "EMBED": lambda j: {"embedding": learning.embed(j.neighbours, j.o["dimensionality"], j.o["embed_iterations"], j.o["epsilon"], j.o["tau"], j.o["non_neighborhood_size"], j.o["random_seed"])},
+    "EMBED": embed,
 }
 
 
@@ -227,9 +249,12 @@ def run(spark: SparkSession, options: Options, **tables: DataFrame) -> dict[str,
 
 
 def save(results: dict[str, DataFrame], options: Options) -> None:
-    """Each table as Parquet below the output directory; models as text as well."""
+    """Each table as Parquet below the output directory; models as text as well, those of several tasks as model_0, model_1, ..."""
     for name, df in results.items():
         path = f"{options['output_directory_path']}/{name}{options['suffix']}"
         df.write.mode("overwrite").parquet(path)
         if name == "model" and "task" not in df.columns:
             writers.write_text(writers.model_lines(df), path + ".txt")
+        elif name == "model":
+            for row in df.select("task").distinct().orderBy("task").collect():  # a row per model
+                writers.write_text(writers.model_lines(df.where(F.col("task") == row.task).select("fid", "w")), f"{options['output_directory_path']}/model_{row.task}")

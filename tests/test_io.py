@@ -160,12 +160,55 @@ def test_streams_equal_batches(spark, inputs, tmp_path):
     assert sorted(map(tuple, scoring.bucket_totals(spark, str(tmp_path / "buckets")).collect())) == sorted(map(tuple, batch.collect()))
 
 
-@pytest.mark.parametrize("name,value", [("topological_regularization_num_neighbors", 5), ("topological_regularization_decay_rate", 0.1), ("num_random_projections", 3), ("num_restarts", 2), ("refine_neighborhood_size", 5), ("neighborhood_size_range", 2), ("tau_exponent_range", 2), ("initial_embedding_coordinates_file_name", "x")])
+@pytest.mark.parametrize("name,value", [("num_random_projections", 3), ("use_real_vector_information", True), ("open_babel_file_format", "mol"), ("refine_neighborhood_size", 5), ("neighborhood_size_range", 2)])
 def test_missing_options_raise(name, value):
     with pytest.raises(NotImplementedError):
         Options(action="TRAIN", **{name: value})
 
 
+def test_many_labels_are_saved_and_read(spark, inputs, tmp_path):
+    y = inputs["targets"]
+    tasks = y.withColumn("task", F.lit(0)).unionByName(y.select("gid", (-F.col("y")).alias("y"), F.lit(1).alias("task")))
+    options = Options(action="TRAIN_MULTILABEL", output_directory_path=str(tmp_path), epochs=2)
+    save(run(spark, options, features=inputs["features"], task_targets=tasks), options)
+    got = run(spark, Options(action="TEST_MULTILABEL", output_directory_path=str(tmp_path)), features=inputs["features"])["margin"]
+    right = got.join(tasks, ["gid", "task"]).where(F.signum("margin") == F.col("y")).count()
+    assert got.count() == 48 and right == 48
+
+
+def test_regularised_training_and_search_from_a_graph_file(spark, tmp_path):
+    graphs = "".join(f"t\nv 0 {'A' if i % 2 else 'C'}\nv 1 B\nv 2 D\ne 0 1 x\ne 1 2 x\n" for i in range(8))
+    path, y = write(tmp_path, "g", graphs), write(tmp_path, "y", "\n".join("1" if i % 2 else "-1" for i in range(8)) + "\n")
+    common = {"input_data_file_name": path, "target_file_name": y, "radius": 0, "distance": 1, "epochs": 3}
+    models = [{r.fid: r.w for r in run(spark, Options(action="TRAIN", **common, **extra))["model"].collect()} for extra in ({}, {"topological_regularization_num_neighbors": 2, "topological_regularization_decay_rate": 0.05})]
+    assert models[0] != models[1]
+    tried = run(spark, Options(action="PARAMETERS_OPTIMIZATION", **{**common, "epochs": 1}, num_line_search_iterations=1, num_cross_validation_folds=2))["opt_param"]
+    rows = tried.collect()
+    assert {r.radius for r in rows} == {0, 1} and {r.distance for r in rows} == {0, 1, 2} and any(r.best for r in rows)
+
+
+def test_embedding_keeps_the_best_trial(spark):
+    near = spark.createDataFrame([(i, (i + d) % 12, 0.9) for i in range(12) for d in (-1, 1)], "gid bigint, nid bigint, k double")
+    from graphloom.operators.learning import embed
+
+    single = [embed(near, iterations=30, seed=s).first().distortion for s in (1, 2, 3)]
+    best = embed(near, iterations=30, seed=1, restarts=3).collect()
+    assert len(best) == 12 and best[0].distortion == min(single)
+    start = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "gid bigint, x array<double>")
+    assert {r.gid: r.x for r in embed(near, iterations=0, start=start).collect()} == {i: [float(i), 0.0] for i in range(12)}
+
+
+def test_self_training_takes_quantiles_by_sign(spark):
+    from graphloom.operators.learning import self_train
+
+    f = spark.createDataFrame([(i, 1, float(i - 10)) for i in range(21)], "gid bigint, fid bigint, value double")
+    y = spark.createDataFrame([(0, -1.0), (20, 1.0)] + [(i, 0.0) for i in range(1, 20)], "gid bigint, y double")
+    model = {r.fid: r.w for r in self_train(f, y, 1, 0.9).collect()}
+    assert model[1] > 0
+    with pytest.raises(ValueError, match="quantile"):
+        self_train(f, y, 1, 1.5)
+
+
 def test_learning_queries_run_the_whole_job(monkeypatch):
     from graphloom.plans import catalogue
     from graphloom.plans.options import DEFAULTS
