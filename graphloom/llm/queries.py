@@ -64,7 +64,7 @@ def p4_found(spark, sf_dir):
 
 
 def p4_scores(spark, sf_dir):
-    return distinct.distinctive_terms(_sequences(spark, sf_dir))
+    return distinct.distinctive_terms(_sequences(spark, sf_dir)).withColumn("value", F.round("value", 6))
 
 
 def p5_frequencies(spark, sf_dir):

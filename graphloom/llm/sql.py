@@ -33,6 +33,17 @@ df AS (SELECT field_name, fid, count(*) AS d FROM e GROUP BY ALL),
 tot AS (SELECT field_name, id, sum(v) AS t FROM e GROUP BY ALL)
 SELECT e.field_name, e.id AS record_id, e.fid FROM e JOIN df USING (field_name, fid) JOIN tot USING (field_name, id) WHERE d BETWEEN 2 AND 20 AND t <> 0 AND round(v / t, 6) >= 0.1"""
 
+_SCORES = f"""WITH {_CURRENT}, {_NODES}, {_PROFILE},
+e AS (SELECT field_name, id, fid, v FROM iv UNION ALL SELECT field_name, id, fid, v FROM nv),
+rf AS (SELECT 'mp_instance' AS field_name, gid AS id, fid, row_number() OVER (PARTITION BY gid ORDER BY loaded_at NULLS FIRST, fid) AS p FROM (SELECT DISTINCT f.gid, f.fid, f.value, f.loaded_at FROM features f JOIN iv ON iv.id = f.gid AND iv.fid = f.fid WHERE f.value IS NOT NULL)),
+en AS (SELECT nid, unnest(m_svector['profile']) AS e, unnest(range(0, len(m_svector['profile']))) AS i FROM ln),
+rn AS (SELECT nv.field_name, en.nid AS id, en.e.fid AS fid, row_number() OVER (PARTITION BY en.nid ORDER BY i) AS p FROM en JOIN nv ON nv.id = en.nid AND nv.fid = en.e.fid WHERE en.e."value" <> 0),
+rd AS (SELECT * FROM rf UNION ALL SELECT * FROM rn),
+dg AS (SELECT a.field_name, a.id, a.fid, count(DISTINCT b.fid) AS degree FROM rd a JOIN rd b ON a.field_name = b.field_name AND a.id = b.id AND abs(a.p - b.p) < 4 AND a.fid <> b.fid GROUP BY ALL),
+df AS (SELECT field_name, fid, count(*) AS d FROM e GROUP BY ALL), tot AS (SELECT field_name, id, sum(v) AS t FROM e GROUP BY ALL), nn AS (SELECT field_name, count(DISTINCT id)::DOUBLE AS n FROM e GROUP BY ALL)
+SELECT e.field_name, e.id AS record_id, e.fid, round(v, 6) AS value, CASE WHEN t <> 0 THEN round(v / t, 6) END AS share, coalesce(degree, 0)::INT AS degree, d AS held_by, round(coalesce(degree, 0) * ln(n / d), 6) AS score
+FROM e JOIN df USING (field_name, fid) JOIN tot USING (field_name, id) JOIN nn USING (field_name) LEFT JOIN dg ON dg.field_name = e.field_name AND dg.id = e.id AND dg.fid = e.fid"""
+
 _P5 = f"""WITH {_NODES}, {_PROFILE},
 d AS (SELECT 'm_discrete' AS field_name, attr, trim(regexp_replace(lower(val), '[\\s\\x{{00a0}}]+', ' ', 'g')) AS term, nid AS id, 1 AS m
       FROM (SELECT nid, unnest(map_keys(m_discrete)) AS attr, unnest(map_values(m_discrete)) AS val FROM ln) WHERE attr IN ('label', 'role', 'origin', 'tissue') AND val IS NOT NULL),
@@ -47,4 +58,11 @@ P6_CHECKS = """SELECT container_id, (SELECT count(DISTINCT doc_id) FROM document
 FROM (SELECT DISTINCT container_id FROM containers WHERE capacity > 0)"""
 P7_CHECKS = """SELECT DISTINCT regexp_replace(lower(trim(source)), '[\\s_\\-]+', '_', 'g') AS source, 0::BIGINT AS records_over_cap, 0::BIGINT AS copies_out_of_line, 0::BIGINT AS strangers FROM mix_targets"""
 
-ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_frequencies": P5_ALL, "p6_checks": P6_CHECKS, "p7_checks": P7_CHECKS}
+_LINKS = P3.rsplit("SELECT o.field_name, id_a, id_b", 1)
+P3_LINKS = _LINKS[0].rstrip() + f""", pr AS (SELECT o.field_name, id_a, id_b{_LINKS[1]}),
+st AS (SELECT s.field_name, id, list_sort(list(tok)) AS l FROM s JOIN n USING (field_name, id) GROUP BY ALL), cl AS (SELECT field_name, id, min(id) OVER (PARTITION BY field_name, l) AS rep, count(*) OVER (PARTITION BY field_name, l) AS k FROM st),
+lk AS (SELECT DISTINCT p.field_name, a.rep AS x, b.rep AS y FROM pr p JOIN cl a ON a.field_name = p.field_name AND a.id = id_a JOIN cl b ON b.field_name = p.field_name AND b.id = id_b WHERE a.rep <> b.rep),
+ct AS (SELECT field_name, rep, count(DISTINCT other) AS links FROM (SELECT field_name, x AS rep, y AS other FROM lk UNION ALL SELECT field_name, y, x FROM lk) GROUP BY ALL)
+SELECT cl.field_name, cl.id, cl.rep AS class_id, k AS copies, coalesce(links, 0) AS links FROM cl LEFT JOIN ct ON ct.field_name = cl.field_name AND ct.rep = cl.rep WHERE k > 1 OR links > 0"""
+
+ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_frequencies": P5_ALL, "p3_links": P3_LINKS, "p4_scores": _SCORES, "p6_checks": P6_CHECKS, "p7_checks": P7_CHECKS}
