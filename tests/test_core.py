@@ -221,3 +221,26 @@ def test_large_buckets_lose_no_neighbour(spark):
     assert got[0] >= 0.9 and got[1] == 200
     dropped = lsh.accuracy(lsh.approximate_neighbours(f, f, 5, most=100, whole=False), exact, 5).where("gid < 150").agg(F.max("accuracy")).first()[0]
     assert dropped == 0
+
+
+def test_kept_tables_need_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from graphloom.store import shared_folder
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="x", getConf=lambda: conf))
+    assert shared_folder(session("local[2]")).startswith("file://") and shared_folder(session("local")).startswith("file://")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(session("spark://host:7077"))
+
+
+def test_dense_neighbours_and_products_equal_the_whole_matrix(spark):
+    e = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0]) for i in range(30)], "gid bigint, x array<double>")
+    dots = {(r.gid_a, r.gid_b): r.k for r in vectors_ops.dense_dots(e, e).collect()}
+    want = {i: sorted(range(30), key=lambda j: (-dots[i, j], j))[:4] for i in range(30)}
+    near = vectors_ops.dense_neighbours(e, e, 4, block_rows=7)
+    assert {i: [r.nid for r in sorted(near.where(f"gid = {i}").collect(), key=lambda r: r["rank"])] for i in (0, 7, 29)} == {i: want[i] for i in (0, 7, 29)}
+    pairs = {(r.gid_a, r.gid_b): r.k for r in vectors_ops.neighbour_products(near, e).collect()}
+    assert pairs == {p: dots[p] for p in pairs} and {(a, b) for l in want.values() for a in l for b in l if a != b} == set(pairs)
+    assert vectors_ops.dense_neighbours(e.limit(0), e.limit(0)).count() == 0
