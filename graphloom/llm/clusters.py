@@ -198,7 +198,7 @@ class Graph:
         bins = max(1, -(-count // group))
         place = F.when(F.col("large").isNull(), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("int"))
         self.nodes = keep(found.join(large, "component", "left").select("id", "component", place.alias("bin")))
-        edges = met.where("w is not null").dropDuplicates(["a", "b"])
+        edges = met.where("w is not null").repartition("a").dropDuplicates(["a", "b"])  # one shuffle serves this and the join
         self.edges = keep(edges.join(self.nodes.select(F.col("id").alias("a"), "bin"), "a").select("bin", "a", "b", "w"))
         self.total = 2 * (self.edges.agg(F.sum("w")).first()[0] or 0.0)
         self.counts = self.members.where("id = rep").select("id", "n")

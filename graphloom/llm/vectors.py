@@ -25,7 +25,17 @@ CHUNK = 1_000_000
 HOT, HOT_ROWS = 64, 2048
 #: A feature with up to this many holders shares its shard with the features that occur beside it.
 LIGHT = 512
-BLOCK = "bucket int, field_name string, ids array<bigint>, fids array<bigint>, vals array<double>, counts array<int>"
+#: Entries of a block at most.
+PIECE = 1 << 22
+_KINDS = {"ids": np.int64, "fids": np.int64, "vals": np.float64, "counts": np.int32, "names": np.int64}
+
+
+def _schema(*names: str) -> str:
+    """Blocks are the plain bytes of arrays, which the JVM copies whole instead of element by element."""
+    return ", ".join(["bucket int", "field_name string", *(f"{n} binary" for n in names)])
+
+
+BLOCK = _schema("ids", "fids", "vals", "counts")
 UNIT = "field_name string, id bigint, fids array<bigint>, vals array<double>, h1 bigint, h2 bigint, light array<bigint>, anchor bigint, own array<bigint>"
 
 
@@ -51,35 +61,64 @@ def node_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_sequences(nodes).select(F.lit(PROFILES).alias("field_name"), "id", "fids", "vals", "reads")
 
 
-def _blocks(field: str, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """One row per bucket with the entries that go there."""
-    order = np.argsort(bucket, kind="stable")
-    sent = bucket[order]
-    start = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
-    offsets = pa.array(np.r_[start, len(sent)].astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(c[order])) for c in columns]
-    return pa.RecordBatch.from_arrays([pa.array(sent[start].astype(np.int32)), pa.array([field] * len(start), pa.string()), *lists], names=["bucket", "field_name", "ids", "fids", "vals", "counts"])
+def _blocks(field: str, bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """One row per bucket with the entries that go there; of more than ``PIECE`` entries, one per bucket and piece."""
+    for lo in range(0, len(bucket), PIECE):
+        order = lo + np.argsort(bucket[lo : lo + PIECE], kind="stable")
+        sent = bucket[order]
+        start = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
+        ends = np.r_[start, len(sent)].astype(np.int32)
+        flat = {n: np.ascontiguousarray(c[order], _KINDS[n]) for n, c in columns.items()}
+        packed = [pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends * np.int32(c.itemsize)), pa.py_buffer(c)]) for c in flat.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(sent[start].astype(np.int32)), pa.array([field] * len(start), pa.string()), *packed], names=["bucket", "field_name", *columns])
 
 
 def _flat(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch[name].flatten().to_numpy(zero_copy_only=False)
 
 
+def _unblocked(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    column, kind = batch[name], np.dtype(_KINDS[name])
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, kind, (int(ends[-1]) - int(ends[0])) // kind.itemsize, int(ends[0]))
+
+
 def _by_field(batches: Iterator[pa.RecordBatch], names: list[str]):
-    """Flat arrays of the list columns of all batches, by field."""
+    """Flat arrays of the blocks of all batches, by field."""
     held: dict[str, list] = {}
     for batch in batches:
         for field in batch["field_name"].unique().to_pylist():
             part = batch.filter(pa.compute.equal(batch["field_name"], field))
-            held.setdefault(field, []).append([_flat(part, n) for n in names])
+            held.setdefault(field, []).append([_unblocked(part, n) for n in names])
     for field in sorted(held):
         yield field, [np.concatenate(c) for c in zip(*held[field])]
 
 
+def _in_chunks(send, lists: list[str]):
+    """``send`` the batches of a field whenever their ``lists`` hold ``CHUNK`` entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {}
+        rows: dict[str, int] = {}
+        for batch in batches:
+            for field in batch["field_name"].unique().to_pylist():
+                part = batch.filter(pa.compute.equal(batch["field_name"], field))
+                held.setdefault(field, []).append(part)
+                rows[field] = rows.get(field, 0) + sum(len(part[n].flatten()) for n in lists)
+                if rows[field] >= CHUNK:
+                    yield from send(field, held.pop(field))
+                    rows[field] = 0
+        for field in sorted(held):
+            yield from send(field, held[field])
+
+    return run
+
+
 def _to_features(buckets: int):
     """Entries of unit vectors, to the bucket of their feature; those of hot features to any bucket, with their share in counts."""
 
-    def send(field: str, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    def send(field: str, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.concatenate([p["fids"].value_lengths().to_numpy() for p in parts])
         n = len(lengths)
         row = np.repeat(np.arange(n), lengths)
@@ -97,23 +136,9 @@ def _to_features(buckets: int):
             counts[at] = -np.maximum(1, held[code[at]] * 1_000_000 // n)
             ids, fids, bucket = np.r_[ids, held[hot]], np.r_[fids, seen[hot]], np.r_[bucket, (mix64(seen[hot], 11) % np.uint64(buckets)).astype(np.int64)]
             vals, counts = np.r_[vals, np.full(hot.sum(), np.nan)], np.r_[counts, np.zeros(hot.sum(), np.int32)]
-        return _blocks(field, bucket, [ids, fids, vals, counts])
+        return _blocks(field, bucket, {"ids": ids, "fids": fids, "vals": vals, "counts": counts})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
-        rows: dict[str, int] = {}
-        for batch in batches:
-            for field in batch["field_name"].unique().to_pylist():
-                part = batch.filter(pa.compute.equal(batch["field_name"], field))
-                held.setdefault(field, []).append(part)
-                rows[field] = rows.get(field, 0) + len(part["fids"].flatten())
-                if rows[field] >= CHUNK:
-                    yield send(field, held.pop(field))
-                    rows[field] = 0
-        for field in sorted(held):
-            yield send(field, held[field])
-
-    return run
+    return _in_chunks(send, ["fids"])
 
 
 def _count_holders(buckets: int):
@@ -129,8 +154,7 @@ def _count_holders(buckets: int):
             counts[plain] = np.minimum(held[code], np.iinfo(np.int32).max)
             go = ~total & (hot | (counts > 1))
             bucket = (mix64(ids[go], 5) % np.uint64(buckets)).astype(np.int64)
-            if len(bucket):
-                yield _blocks(field, bucket, [ids[go], fids[go], vals[go], counts[go]])
+            yield from _blocks(field, bucket, {"ids": ids[go], "fids": fids[go], "vals": vals[go], "counts": counts[go]})
 
     return run
 
@@ -216,6 +240,50 @@ def classes_of_copies(units: DataFrame, total: int) -> DataFrame:
     return keep(salted_lookup(keyed, classes, ["field_name", "h1", "h2"], "n", max(total, 1), "inner").select("field_name", "rep", "id", "n"))
 
 
+def _to_light(buckets: int):
+    """Light features with their vector's anchor, to the bucket of the feature; names of a vector's own, to that of the vector."""
+
+    def send(field: str, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, anchor = (np.concatenate([p[c].to_numpy() for p in parts]) for c in ("id", "anchor"))
+        light, own = (np.concatenate([p[c].value_lengths().to_numpy() for p in parts]) for c in ("light", "own"))
+        fids, names = (np.concatenate([_flat(p, c) for p in parts]) for c in ("light", "own"))
+        own_ids = np.repeat(ids, own)
+        bucket = np.r_[mix64(fids, 11) % np.uint64(buckets), mix64(own_ids, 5) % np.uint64(buckets)].astype(np.int64)
+        columns = {"ids": np.r_[np.repeat(ids, light), own_ids], "fids": np.r_[fids, np.zeros(len(names), np.int64)], "names": np.r_[np.repeat(anchor, light), names]}
+        return _blocks(field, bucket, columns | {"counts": np.repeat([1, 0], [len(fids), len(names)])})
+
+    return _in_chunks(send, ["light", "own"])
+
+
+def _name(buckets: int):
+    """Names of vectors, to the bucket of the vector: a light feature's is the least anchor of its vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for field, (ids, fids, names, counts) in _by_field(batches, ["ids", "fids", "names", "counts"]):
+            light = counts > 0
+            seen, code = np.unique(fids[light], return_inverse=True)
+            least = np.full(len(seen), np.iinfo(np.int64).max)
+            np.minimum.at(least, code, names[light])
+            names = names.copy()
+            names[light] = least[code]
+            yield from _blocks(field, (mix64(ids, 5) % np.uint64(buckets)).astype(np.int64), {"ids": ids, "names": names})
+
+    return run
+
+
+def _collect_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for field, (ids, names) in _by_field(batches, ["ids", "names"]):
+        order = np.lexsort((names, ids))
+        ids, names = ids[order], names[order]
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (names[1:] != names[:-1])]
+        ids, names = ids[new], names[new]
+        start = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[start, len(ids)].astype(np.int32)), pa.array(names))
+        out = pa.RecordBatch.from_arrays([pa.array([field] * len(start), pa.string()), pa.array(ids[start]), lists], names=["field_name", "id", "names"])
+        for lo in range(0, len(start), 8192):
+            yield out.slice(lo, 8192)
+
+
 TASK = ["field_name", "shard", "first", "second"]
 
 
@@ -229,19 +297,19 @@ def route(units: DataFrame, members: DataFrame, total: int, shard_rows: int) ->
 
     Returns ``(field_name, shard, first, second, asks, id, fids, vals)``; rows of part ``second`` ask those of ``first``.
     """
+    buckets = max(1, int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spare = members.where("id <> rep").select("field_name", "id")
     rows = units.select("field_name", "id", "light", "anchor", "own").join(spare, ["field_name", "id"], "left_anti")
-    rows = keep(rows)
-    light = rows.select("field_name", "id", "anchor", F.explode("light").alias("f"))
-    names = light.groupBy("field_name", "f").agg(F.min("anchor").alias("name"), F.count(F.lit(1)).alias("n"))
-    named = salted_lookup(light.select("field_name", "id", "f"), names, ["field_name", "f"], "n", max(1, total)).select("field_name", "id", "name")
-    named = named.unionByName(rows.select("field_name", "id", F.explode("own").alias("name"))).distinct()
-    chosen = keep(named)
-    shards = max(1, -(-chosen.count() // shard_rows))
-    chosen = chosen.select("field_name", "id", F.pmod(F.xxhash64("field_name", "name"), F.lit(shards)).cast("int").alias("shard")).distinct()
-    sizes = chosen.groupBy("field_name", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard_rows)
+    sent = rows.mapInArrow(_to_light(buckets), _schema("ids", "fids", "names", "counts")).repartitionById(buckets, "bucket")
+    named = sent.mapInArrow(_name(buckets), _schema("ids", "names")).repartitionById(buckets, "bucket")
+    chosen = keep(named.mapInArrow(_collect_names, "field_name string, id bigint, names array<bigint>"))
+    count = chosen.agg(F.sum(F.size("names"))).first()[0] or 0
+    shards = max(1, -(-count // shard_rows))
+    shard = F.transform("names", lambda name: F.pmod(F.xxhash64("field_name", name), F.lit(shards)).cast("int"))
+    chosen = chosen.select("field_name", "id", F.explode(F.array_distinct(shard)).alias("shard"))
+    sizes = chosen.groupBy("field_name", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * shard_rows)  # at most one line for so many rows
     parts = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / (2 * shard_rows)).cast("int")
-    placed = chosen.join(sizes, ["field_name", "shard"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    placed = chosen.join(F.broadcast(sizes), ["field_name", "shard"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     meets = placed.select("field_name", "shard", "id", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     first, second = F.least("part", "other"), F.greatest("part", "other")
     meets = meets.select("field_name", "shard", "id", first.alias("first"), second.alias("second"), (F.col("part") > F.col("other")).alias("asks"))

@@ -13,7 +13,7 @@ from graphloom.llm import vectors as vectors_module
 from graphloom.llm import clusters, distinct, kernels, mixing, neardup, packing, similar, spam, termfreq, tokens
 from graphloom.llm.vectors import TASK, classes_of_copies, route, shared_units
 from graphloom.operators.nodes import current_nodes, profile_sequences
-from graphloom.operators.records import current_sequences, current_vectors, mix64
+from graphloom.operators.records import _latest, current_sequences, current_vectors, mix64
 
 VECTORS = "field_name string, id bigint, fids array<bigint>, vals array<double>"
 
@@ -157,6 +157,46 @@ def test_shared_units_are_exact(spark, monkeypatch, hot_rows):
     assert shared_units(frame(spark, {})).count() == 0
 
 
+def test_route_moves_vectors_in_few_shuffles(spark):
+    """Names are found before; sizes of shards, ids, vectors and tasks are what is shuffled then."""
+    v = make_vectors(33, [(6, 1), (9, 2)], 20)
+    units = shared_units(frame(spark, v)).cache()
+    rows = route(units, classes_of_copies(units, len(v)), len(v), 20)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+    tops = {r.id: set(r.light) for r in units.collect()}
+    at = {}
+    for r in rows.collect():
+        at.setdefault(r.id, set()).add((r.shard, r.first, r.second))
+    assert at.keys() == tops.keys()
+    for a, b in itertools.combinations(tops, 2):
+        assert not tops[a] & tops[b] or at[a] & at[b]  # who shares a light feature meets
+
+
+def test_blocks_in_pieces_hold_every_entry(monkeypatch):
+    monkeypatch.setattr(vectors_module, "PIECE", 7)
+    n = 50
+    ids, vals, bucket = np.arange(n), np.linspace(-1, 1, n), np.arange(n) % 4
+    blocks = list(vectors_module._blocks("f", bucket, {"ids": ids, "vals": vals, "counts": ids % 3}))
+    assert len(blocks) == 8 and all(b.schema.field("ids").type == pa.binary() for b in blocks)
+    for k in range(4):
+        mine = [b.filter(pa.compute.equal(b["bucket"], k)) for b in blocks]
+        ((field, (i, x, c)),) = vectors_module._by_field(iter([b for b in mine if b.num_rows]), ["ids", "vals", "counts"])
+        assert field == "f" and i.tolist() == ids[bucket == k].tolist() and x.tolist() == vals[bucket == k].tolist() and c.tolist() == (i % 3).tolist()
+
+
+@pytest.mark.parametrize("span", [1, 2**40])  # ids and fids that fit one sort key, and ids and fids that don't
+def test_latest_of_narrow_and_wide_keys(span):
+    rng = np.random.default_rng(span)
+    ids, fids = rng.integers(-5, 5, 400) * span, rng.integers(-4, 4, 400) * span
+    vals, times = rng.choice([-np.inf, 0.0, 1.0, 2.0], 400), rng.integers(0, 4, 400)
+    last = {}
+    for i, f, v, t in zip(ids, fids, vals, times):
+        last[i, f] = max(last.get((i, f), (t, v)), (t, v))
+    got = _latest(ids, fids, vals, times)
+    assert list(zip(*(x.tolist() for x in got))) == [(i, f, v, t) for (i, f), (t, v) in sorted(last.items())]
+    assert all(len(x) == 0 for x in _latest(*(x[:0] for x in (ids, fids, vals, times))))
+
+
 def test_p2_fields_never_meet(spark, vectors):
     both = frame(spark, vectors, "x").unionByName(frame(spark, vectors, "y"))
     got = similar.most_similar(both, 3, 0.9).groupBy("field_name").count().collect()
