@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import density, graph_ops, kernels, learning, lsh, node_kernels, sampling, vectors_ops
 from graphloom.operators.nodes import current_nodes, profile_entries
+from graphloom.operators.skew import unsent
 from graphloom.plans import oracles as O
 from graphloom.plans.catalogue import _NSPDK, _USIGN, _WEIGHTS, ORACLES, _distances, _user_features, _weights, dense, graph, long_features, query, table
 from graphloom.sources import readers, writers
@@ -112,7 +113,7 @@ _CHARS = "p AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS gid, p_bran
 def read_character_sequences(spark, sf_dir):
     path = _written(table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("line")), "p_partkey")
     v, e = readers.reader("SEQUENCE")(spark, path, directed=True)
-    names = v.select("gid", "vid", "label")
+    names = unsent(v.select("gid", "vid", "label"))
     return e.select("gid", "src", "dst").join(names.toDF("gid", "src", "a"), ["gid", "src"]).join(names.toDF("gid", "dst", "b"), ["gid", "dst"]).select("gid", "src", "dst", "a", "b")
 
 
