@@ -9,6 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.store import keep
+
+
+#: Weights of a line of a model's text.
+WEIGHTS = 50_000
+
 
 def write_text(lines: DataFrame, path: str) -> None:
     """One text column, overwriting the folder."""
@@ -34,13 +40,19 @@ def sparse_binary(features: DataFrame) -> DataFrame:
     return rows.mapInPandas(pack, "gid bigint, data binary")
 
 
-def model_lines(model: DataFrame) -> DataFrame:
-    """``(line)``: bias, wscale and w of a model whose bias has fid -1."""
+def model_lines(model: DataFrame, per_line: int = WEIGHTS) -> DataFrame:
+    """``(line)``: bias, wscale and w of a model whose bias has fid -1; fids ascend in a line.
+
+    Beyond ``per_line`` weights there are several w lines, each with the weights of one hash bucket, so that no row holds the whole model.
+    """
+    model = keep(model)
+    cut = max(1, -(-model.count() // per_line))
     bias = model.where("fid = -1").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("b"))
-    weights = model.where("fid <> -1").agg(F.array_sort(F.collect_list(F.struct("fid", "w"))).alias("e"))
-    cell = lambda e: F.concat(F.lit(" "), e["fid"].cast("string"), F.lit(":"), e["w"].cast("string"))
-    both = bias.join(weights, F.lit(True))
-    return both.select(F.explode(F.array(F.concat(F.lit("bias "), F.col("b").cast("string")), F.lit("wscale 1"), F.concat(F.lit("w"), F.array_join(F.transform("e", cell), "")))).alias("line"))
+    heads = bias.select(F.explode(F.array(F.concat(F.lit("bias "), F.col("b").cast("string")), F.lit("wscale 1"))).alias("line"))
+    cell = F.concat(F.lit(" "), F.col("fid").cast("string"), F.lit(":"), F.col("w").cast("string"))
+    cells = model.where("fid <> -1").select(F.pmod(F.xxhash64("fid"), F.lit(cut)).alias("part"), F.struct("fid", cell.alias("c")).alias("e"))
+    rows = cells.groupBy("part").agg(F.sort_array(F.collect_list("e")).alias("e")) if cut > 1 else cells.agg(F.sort_array(F.collect_list("e")).alias("e"))
+    return heads.unionByName(rows.select(F.concat(F.lit("w"), F.array_join("e.c", "")).alias("line")))
 
 
 #: Colours of labels in order of first use (fixed values).

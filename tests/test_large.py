@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.sources import readers
+from graphloom.sources import readers, writers
 
 
 def planned(df) -> str:
@@ -17,3 +17,12 @@ def test_sequences_are_not_broadcast(spark, tmp_path, monkeypatch):
     v, e = readers.read_sequences(spark, str(tmp_path / "s"), directed=True)
     assert sorted((r.gid, r.src, r.dst) for r in e.collect()) == [(0, 1, 0), (1, 1, 0), (1, 2, 1)]
     assert "SortMergeJoin [gid" in kept[-1] and "BroadcastHashJoin" not in planned(e)
+
+
+def test_models_are_written_in_several_lines(spark, tmp_path):
+    model = spark.range(-1, 120_000).select(F.col("id").alias("fid"), (F.col("id") / 4).alias("w"))
+    writers.write_text(writers.model_lines(model), str(tmp_path / "m"))
+    heads = [r.n for r in spark.read.text(str(tmp_path / "m")).select(F.length("value").alias("n")).collect()]
+    assert len(heads) == 5 and max(heads) < 1_000_000
+    assert readers.read_model(spark, str(tmp_path / "m")).exceptAll(model).count() == 0
+    assert readers.read_model(spark, str(tmp_path / "m")).count() == 120_001
