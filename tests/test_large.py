@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom.operators import graph_ops, kernels
 from graphloom.sources import readers, writers
 
 
@@ -26,3 +27,15 @@ def test_models_are_written_in_several_lines(spark, tmp_path):
     assert len(heads) == 5 and max(heads) < 1_000_000
     assert readers.read_model(spark, str(tmp_path / "m")).exceptAll(model).count() == 0
     assert readers.read_model(spark, str(tmp_path / "m")).count() == 120_001
+
+
+def test_pairs_are_not_broadcast_and_are_shuffled_once(spark, monkeypatch):
+    kept, keep = [], graph_ops.keep
+    monkeypatch.setattr(graph_ops, "keep", lambda df: kept.append(planned(df)) or keep(df))
+    rows = spark.createDataFrame([(g, t, "AABAC"[t]) for g in (1, 2) for t in range(5 - g)], "u int, t int, l string")
+    v, e = (keep(t) for t in graph_ops.sequences(rows, "u", ["t"], F.col("l")))
+    d, codes = graph_ops.bounded_distances(v, e, 2), keep(kernels.vertex_codes(v, e, 1))
+    by_vertex, whole = kernels.pair_features(v, d, codes), kernels.pair_features(v, d, codes, by_vertex=False)
+    assert len(kept) == 3 and "BroadcastHashJoin" not in "".join(kept) + planned(whole)
+    summed = by_vertex.groupBy("gid", "r", "d", "fid").agg(F.sum("count").alias("count"))
+    assert summed.count() == whole.count() and summed.exceptAll(whole).count() == 0
