@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph_ops, kernels
+from graphloom.operators import graph_ops, kernels, local_kernels
 from graphloom.sources import readers, writers
 
 
@@ -39,3 +39,23 @@ def test_pairs_are_not_broadcast_and_are_shuffled_once(spark, monkeypatch):
     assert len(kept) == 3 and "BroadcastHashJoin" not in "".join(kept) + planned(whole)
     summed = by_vertex.groupBy("gid", "r", "d", "fid").agg(F.sum("count").alias("count"))
     assert summed.count() == whole.count() and summed.exceptAll(whole).count() == 0
+
+
+def test_graphs_reach_a_kernel_in_batches_and_equal_shapes_are_hashed_once(spark, monkeypatch):
+    rows = [(g, t, "ABCA"[t], True, True, True, False, False) for g in range(40) for t in range(4)]
+    v = spark.createDataFrame(rows, "gid bigint, vid int, label string, is_viewpoint boolean, is_kernel_point boolean, kind boolean, is_dead boolean, is_abstraction boolean")
+    ties = [(g, s, s + 1, "-", False, False, False) for g in range(40) for s in range(3)]
+    e = spark.createDataFrame(ties + [(g, d, s, *rest) for g, s, d, *rest in ties], "gid bigint, src int, dst int, label string, is_dead boolean, is_abstraction_of boolean, is_part_of boolean")
+    found = local_kernels.local_features(v, e, "USPK", local_kernels.Config(radius=1, distance=2))
+    assert "gid" not in planned(found).split("FlatMapCoGroupsInArrow [")[1].split("]")[0]
+    per = {}
+    for r in found.collect():
+        per.setdefault(r.gid, {})[r.fid] = r.value
+    assert len(per) == 40 and all(x == per[0] for x in per.values())
+    calls, real = [], local_kernels.Graph._canonical
+    monkeypatch.setattr(local_kernels.Graph, "_canonical", lambda g, *a: calls.append(a) or real(g, *a))
+    local_kernels.SHAPES.clear()
+    for gid in range(3):
+        g = local_kernels.assemble([r[1:5] + r[6:] for r in rows if r[0] == gid], [], local_kernels.Config(radius=1, distance=2))
+        assert local_kernels.path_cells(g)[0, 0] == {real(g, {0}, 0): 4.0, real(g, {1}, 1): 2.0, real(g, {2}, 2): 2.0}
+    assert len(calls) == 3
