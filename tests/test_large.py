@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import graph_ops, kernels, local_kernels
+from graphloom.operators import graph_ops, kernels, local_kernels, lsh
 from graphloom.sources import readers, writers
 
 
@@ -59,3 +59,11 @@ def test_graphs_reach_a_kernel_in_batches_and_equal_shapes_are_hashed_once(spark
         g = local_kernels.assemble([r[1:5] + r[6:] for r in rows if r[0] == gid], [], local_kernels.Config(radius=1, distance=2))
         assert local_kernels.path_cells(g)[0, 0] == {real(g, {0}, 0): 4.0, real(g, {1}, 1): 2.0, real(g, {2}, 2): 2.0}
     assert len(calls) == 3
+
+
+def test_buckets_are_not_broadcast(spark):
+    signed = spark.createDataFrame([(g, s, 7 + g // 3) for g in range(9) for s in range(3)], "gid bigint, slot int, key bigint")
+    indexed = lsh.index(signed, most=4)
+    met = lsh.candidates(signed, indexed)
+    assert sorted((r.gid, r.nid, r.hits) for r in met.collect()) == [(g, n, 3) for g in range(9) for n in range(9) if g // 3 == n // 3]
+    assert "BroadcastHashJoin" not in planned(indexed) and "BroadcastHashJoin" not in planned(met)
